@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, license_scan, pii, sharding
+from packetloom.llm import chat, license_scan, near_dedup, pii, sharding
 from packetloom.session import read_table
 
 
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(read_table(spark, sf_dir, "documents")))
 
@@ -30,6 +34,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op5_license_scan": op5_license_scan,
     "op8_chat_format": op8_chat_format,
