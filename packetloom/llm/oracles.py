@@ -54,15 +54,16 @@ NEAR = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
   else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
-f as (select min(doc_id) as rep, list_sort(s) as s, len(s) as n from s where len(s) > 0 group by list_sort(s)),
+o as (select doc_id, list_sort(s) as s from s),
+f as (select min(doc_id) as rep, o.s as s, len(o.s) as n from o where len(o.s) > 0 group by o.s),
 x as (select rep, n, unnest(s) as sh from f),
 p as (select a.rep as a, b.rep as b from x a join x b on a.sh = b.sh and a.rep < b.rep
   group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 e as (select a, b from p union select b, a from p),
 r(a, b) as (select rep, rep from f union select r.a, e.b from r join e on r.b = e.a),
 c as (select a as rep, min(b) as component_id from r group by a)
-select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(c.component_id, s.doc_id)::bigint as component_id,
-  s.doc_id = coalesce(c.component_id, s.doc_id) as kept
-from s left join f on list_sort(s.s) = f.s left join c on f.rep = c.rep"""
+select o.doc_id, len(o.s)::bigint as n_shingles, coalesce(c.component_id, o.doc_id)::bigint as component_id,
+  o.doc_id = coalesce(c.component_id, o.doc_id) as kept
+from o left join f on o.s = f.s left join c on f.rep = c.rep"""
 
 ORACLES: dict[str, str] = {"op1_sharding": _sharding_sql(), "op2_near_dedup": NEAR, "op8_chat_format": CHAT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, license_scan, near_dedup, pii, sharding
+from packetloom.llm import bpe, chat, license_scan, near_dedup, pii, sharding
 from packetloom.session import read_table
 
 
@@ -27,6 +27,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(read_table(spark, sf_dir, "documents")))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(read_table(spark, sf_dir, "conversations"), spark)
     return chat.digest(chat.format_log(chat.log_of_turns(turns)))
@@ -37,5 +41,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op5_license_scan": op5_license_scan,
+    "op7_bpe": op7_bpe,
     "op8_chat_format": op8_chat_format,
 }
