@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, chat, license_scan, near_dedup, pii, sharding
+from packetloom.llm import ann, bpe, chat, license_scan, near_dedup, pii, quality, sharding
 from packetloom.session import read_table
 
 
@@ -36,6 +36,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_log(chat.log_of_turns(turns)))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit_on(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (quality.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
@@ -43,4 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op7_bpe": op7_bpe,
     "op8_chat_format": op8_chat_format,
+    "op9_quality": op9_quality,
+    "op10_ann": op10_ann,
 }
