@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, bpe, chat, license_scan, near_dedup, pii, quality, sharding
+from packetloom.llm import ann, bpe, chat, hmm_lm, license_scan, near_dedup, pii, quality, sharding
 from packetloom.session import read_table
 
 
@@ -27,6 +27,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_corpus(read_table(spark, sf_dir, "documents"), quality.remainder(F.col("doc_id"), 7) != 2)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(read_table(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
     "op5_license_scan": op5_license_scan,
+    "op6_hmm_lm": op6_hmm_lm,
     "op7_bpe": op7_bpe,
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
