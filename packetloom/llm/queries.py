@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, bpe, chat, hmm_lm, license_scan, near_dedup, pii, quality, sharding
+from packetloom.llm import ann, bpe, chat, decontam, hmm_lm, license_scan, near_dedup, pii, quality, sharding
 from packetloom.session import read_table
 
 
@@ -23,6 +23,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.start", "hit.end", "hit.edits")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
     "op3_pii": op3_pii,
+    "op4_decontam": op4_decontam,
     "op5_license_scan": op5_license_scan,
     "op6_hmm_lm": op6_hmm_lm,
     "op7_bpe": op7_bpe,
