@@ -242,3 +242,14 @@ def _own_texts(found: DataFrame, words: int) -> DataFrame:
             yield {n: b.column(n).filter(mask) for n in ("fp", "keys", "text")}
 
     return map_arrow(found.select("fp", "keys", "text"), run, "fp binary, keys array<long>, text string")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, all columns, that stay when one document of each group does: the one with the smallest key.
+
+    Repeated rows (same key, same text) become one; rows with null keys stay.
+    """
+    stays = near_duplicates(df, key, text, words, percent).where("kept").select(F.col(key).alias("__key")).where("__key is not null").distinct()
+    known = df.where(F.col(key).isNotNull())
+    known = known.join(stays, known[key] == F.col("__key"), "left_semi").withColumn("__text", F.xxhash64(text)).dropDuplicates([key, "__text"]).drop("__text")
+    return known.unionByName(df.where(F.col(key).isNull()))
