@@ -1,8 +1,9 @@
 """Ordered-sequence operators over any DataFrame: the cores of the transport-stream detectors.
 
-A key may hold most of the rows (one PID of a stream often does), so nothing here sorts a whole key in one task where the
-semantics allow otherwise. :func:`scan` splits each key's sequence into chunks of its integer order, runs windows inside chunks, and carries
-lags, sums and last values over chunk borders through a table with one row per chunk.
+:func:`scan` is the one primitive: lags, running sums and last values per key. Scans over the same keys share one exchange, so a detector of
+several steps shuffles its packets once. Where one key holds most of the rows (one PID of a stream often does) or there is no key at
+all, the sequence is split into chunks of its integer order instead: windows run inside chunks, and a table with one row per chunk carries values
+over the borders, so no task sorts a whole key. The setting ``packetloom.scan.chunk`` (rows per chunk) turns this on for keyed scans.
 """
 
 from __future__ import annotations
@@ -14,15 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+SETTING = "packetloom.scan.chunk"
 
 
 def scan(
     df: DataFrame, keys: Sequence[str], order: str, lags: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
-    lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, chunk: int = CHUNK,
+    lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, chunk: int | None = None,
 ) -> DataFrame:
     """Adds, per key in order: ``lags`` (value of the row before), ``sums`` (running, this row included), ``lasts`` (last value that is
     not null, this row included) and ``before`` (the same without this row). ``order`` is an integer, unique within a key."""
     lags, sums, lasts, before = lags or {}, sums or {}, lasts or {}, before or {}
+    chunk = chunk or int(df.sparkSession.conf.get(SETTING, "0")) or (0 if keys else CHUNK)
+    if not chunk:
+        w = Window.partitionBy(*keys).orderBy(order)
+        upto, prior = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            "*", *[F.lag(c).over(w).alias(n) for n, c in lags.items()], *[F.sum(c).over(upto).alias(n) for n, c in sums.items()],
+            *[F.last(c, ignorenulls=True).over(upto).alias(n) for n, c in lasts.items()], *[F.last(c, ignorenulls=True).over(prior).alias(n) for n, c in before.items()])
     keys = list(keys)
     base = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
     w = Window.partitionBy(*keys, "__chunk").orderBy(order)

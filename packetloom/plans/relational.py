@@ -264,8 +264,8 @@ def band_correlation(spark, d):
 def incident_cluster(spark, d):
     """Stretches of errors less than 8 events apart that touch at least three PIDs."""
     e = events(spark, d).where("event_type = 'error'").select((F.floor(F.col("event_id") / 100_000)).alias("shard"), F.col("event_id").alias("start_id"), F.col("event_id").alias("end_id"), F.pmod("user_id", F.lit(8)).alias("pid"))
-    e = seq.scan(e, [], "start_id", lags={"was": F.col("start_id")}, chunk=100_000)
-    e = seq.scan(e, [], "start_id", sums={"run": (F.col("was").isNull() | (F.col("start_id") - F.col("was") > 8)).cast("long")}, chunk=100_000)
+    e = seq.scan(e, [], "start_id", lags={"was": F.col("start_id")})
+    e = seq.scan(e, [], "start_id", sums={"run": (F.col("was").isNull() | (F.col("start_id") - F.col("was") > 8)).cast("long")})
     g = e.groupBy("run").agg(F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"), F.count(F.lit(1)).alias("n"), F.countDistinct("pid").alias("pids"))
     return g.where("pids >= 3").drop("run")
 
