@@ -145,3 +145,24 @@ ORACLES: dict[str, str] = {
     "event_reach": f"""with {EV}, e as (select event_id, user_id from ev where event_type = 'error')
         select a.event_id, count(distinct b.user_id) as users from e a join e b on b.event_id <= a.event_id and a.event_id - b.event_id <= 30 group by 1""",
 }
+
+ORACLES |= {
+    "ts_decode": f"""with {PK} select event_id as packet_index, pid, cc, tei, pusi, afc, case when afc = 3 then 7 end::int as af_len, case when afc = 3 then 12 else 4 end::int as payload_offset,
+        true as has_payload, case when afc = 3 then pcr_base end as pcr_base from pk""",
+    "ts_fault_counts": f"""with {CC},
+        q as (select pid, event_id, pcr_base - lag(pcr_base) over (partition by pid order by event_id) as d from pk where afc = 3 and not tei),
+        f as (select pid, 'Error' as severity, 'TransportError' as type from pk where tei
+          union all select pid, 'Error', 'ContinuityGap' from c2 where missing > 0
+          union all select pid, case when d > 900000 then 'Error' else 'Warning' end, case when d > 900000 then 'PcrJump' else 'PcrGap' end from q where d > 45000)
+        select pid, severity, type, count(*) as n from f group by all""",
+    "ts_merged_faults": f"""with {PK}, a as (select pid, event_id, lag(event_id) over (partition by pid order by event_id) as was from pk where tei),
+        b as (select *, sum((was is null or event_id - was > 256)::int) over (partition by pid order by event_id) as s from a)
+        select pid, min(event_id) as start_packet, max(event_id) as end_packet, count(*)::bigint as occurrences from b group by pid, s""",
+    "ts_same_pid_next": f"with {PK} select event_id as packet_index, pid, lead(event_id) over (partition by pid order by event_id) as next_index from pk",
+    "stream_buckets": f"with {EV} select us // 86400000000 as day, event_type, count(*) as n from ev group by 1, 2",
+    "stream_continuity": f"""with {EV}, a as (select user_id % 8 as pid, event_id, ((event_id // 8) % 16)::int as cc, event_type = 'error' as tei from ev),
+        s as (select *, sum(tei::int) over (partition by pid order by event_id) as stretch from a),
+        l as (select *, lag(cc) over (partition by pid, stretch order by event_id) as was from s where not tei)
+        select pid::int as pid, event_id as packet_index, case when was = cc then 'Duplicate' else 'Gap' end as fault, case when was = cc then 0 else (cc - was + 31) % 16 end::int as missing
+        from l where was is not null and (cc - was + 31) % 16 <> 0""",
+}
