@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from packetloom.functions.packet import PLAIN_STREAM_IDS
 
 SCHEMA = "array<struct<path:string,kind:string,value:string,start_byte:int,byte_length:int,high_bit:int,low_bit:int>>"
@@ -43,14 +47,12 @@ def tree(raw: bytes | None) -> list[tuple]:
     return out
 
 
-def with_tree(packets, column: str = "fields"):
+def with_tree(packets: DataFrame, column: str = "fields") -> DataFrame:
     """``packets`` with the field tree of ``raw``; meant for a window of packets, as an inspector shows."""
-    import pandas as pd
-    from pyspark.sql import functions as F
+    names = ("path", "kind", "value", "start_byte", "byte_length", "high_bit", "low_bit")
 
-    @F.pandas_udf(SCHEMA)
-    def fields(raw: pd.Series) -> pd.Series:
-        names = ("path", "kind", "value", "start_byte", "byte_length", "high_bit", "low_bit")
+    def run(raw):
         return raw.map(lambda r: [dict(zip(names, x, strict=True)) for x in tree(None if r is None else bytes(r))])
 
-    return packets.withColumn(column, fields("raw"))
+    run.__annotations__ = {"raw": pd.Series, "return": pd.Series}
+    return packets.withColumn(column, F.pandas_udf(run, SCHEMA)("raw"))

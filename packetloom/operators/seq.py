@@ -48,8 +48,8 @@ def scan(
     for n, c in sums.items():
         local[n] = F.sum(c).over(upto)
         ends[f"__{n}"] = F.sum(c)
-        carry[f"__{n}"] = F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0))
-        final[n] = F.col(n) + F.col(f"__{n}")
+        carry[f"__{n}"] = F.sum(f"__{n}").over(earlier)
+        final[n] = F.coalesce(F.col(n) + F.col(f"__{n}"), F.col(n), F.col(f"__{n}"))
     for n, c in [*lasts.items(), *before.items()]:
         local[n] = F.last(c, ignorenulls=True).over(upto if n in lasts else prior)
         ends[f"__{n}"] = F.max_by(c, F.when(c.isNotNull(), F.col(order)))
