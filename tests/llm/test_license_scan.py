@@ -32,7 +32,7 @@ def test_expressions():
 
 def test_tables(spark):
     rows = [(1, None), (2, "SPDX-License-Identifier: MIT OR GPL-3.0"), (3, "All rights reserved. " * 3), (3, "x " * 200_000 + "under the MIT license")]
-    out = {(r.doc_id, r.n_words): r for r in ls.digest(ls.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    out = {(r.doc_id, r.n_words): r for r in ls.digest(ls.scan(spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, score string, n_words int"))).collect()}
     assert out[1, 0].labels == "" and out[1, 0].score == 0 and out[1, 0].first_word is None
     assert out[2, 8].labels == "gpl-3.0,mit" and out[2, 8].score > 0.9
     assert out[3, 9].base_labels == "" and out[3, 9].labels == "all-rights-reserved"
