@@ -11,7 +11,7 @@ emissions over segments of ``SEGMENT`` tokens, the sums meet by key, and only th
 after a text's first start from the mean occupancy of the states. Scoring is exact: the scaled forward recursion runs over
 whole texts, as products of the segments' transfer matrices.
 
-Counts of the ``HOT`` most frequent words (a bounded table) travel with the code; those of all other words are joined by word, so neither
+Counts of the most frequent words (at most ``HOT`` of them) travel with the code; those of all other words are joined by word, so neither
 frequent words nor the size of the vocabulary falls on one task. Null texts are empty: one end token. Repeated rows are rows of
 their own; rows with null keys count as the key "". An empty table gives no rows.
 """
@@ -32,7 +32,7 @@ from packetloom.llm.arrow import map_arrow, raw_texts
 from packetloom.session import Scratch
 
 OWN, BUCKETS, STATES = 1024, 256, 6
-HOT = 1 << 18
+HOT = 1 << 17
 SEGMENT, ROUNDS = 64, 3
 END = b"\n"
 FLUSH = 300_000
@@ -84,9 +84,20 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def gather(vocabulary: DataFrame) -> Counts:
-    """Totals and the hot words; at most ``HOT`` rows and one per bucket come to the driver."""
-    hot = [(bytes(r["token"]), r["c"]) for r in vocabulary.orderBy(F.desc("c"), "token").limit(HOT).collect()]
-    own = {w: i for i, (w, _) in enumerate(sorted(hot[:OWN], key=lambda x: (-x[1], x[0])))}
+    """Totals and the hot words: those above the lowest frequency step that at most ``HOT`` words reach. A few hundred steps, one row per
+    bucket and the hot words come to the driver."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    fits, floor = 0, None
+    for r in sorted(vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["s"]):
+        if fits + r["n"] > HOT:
+            break
+        fits, floor = fits + r["n"], r["s"]
+    found = vocabulary.where(step >= floor if floor is not None else F.lit(False)).toArrow()
+    hot = dict(zip(found.column("token").to_pylist(), found.column("c").to_pylist(), strict=True))
+    if END not in hot:
+        end = vocabulary.where(F.col("token") == F.lit(bytearray(END))).first()
+        hot[END] = end["c"] if end else 0
+    own = {w: i for i, w in enumerate(sorted(hot, key=lambda w: (-hot[w], w))[:OWN])}
     own.setdefault(END, len(own))
     ending = F.expr("substring(token, greatest(1, octet_length(token) - 1), 2)")
     inside = np.zeros((BUCKETS, 2))
@@ -94,14 +105,10 @@ def gather(vocabulary: DataFrame) -> Counts:
     for r in vocabulary.groupBy((F.crc32(ending) % BUCKETS).alias("b")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         inside[r["b"]] = r["n"], r["v"]
         tokens, types = tokens + r["n"], types + r["v"]
-    counts = dict(hot)
-    if END not in counts:
-        end = vocabulary.where(F.col("token") == F.lit(bytearray(END))).first()
-        counts[END] = end["c"] if end else 0
     for w in own:
-        if c := counts.get(w, 0):
-            inside[bucket_of(w)] -= c, 1
-    return Counts(tokens, types, counts, inside, own)
+        if hot[w]:
+            inside[bucket_of(w)] -= hot[w], 1
+    return Counts(tokens, types, hot, inside, own)
 
 
 @dataclass
@@ -218,16 +225,19 @@ def code(texts: DataFrame, counts: Counts, train: Column) -> DataFrame:
     """Texts as classes, with what is known of their words here; words that are not hot are left in ``cold``."""
     total = np.log10(counts.tokens + counts.types + 1)
     share = np.log10(counts.in_bucket.sum(1) + 1)
-    hot, own = counts.hot, counts.own
-    first_bucket = len(own)
-    # for each hot word its class, its count and what P(word | class) adds
-    table: dict[bytes, tuple[int, float, float]] = {}
-    for w, c in hot.items():
-        k = counts.class_of(w)
-        table[w] = (k, np.log10(c + 1), 0.0 if k < first_bucket else np.log10(c + 1) - share[k - first_bucket])
+    first_bucket, end_unseen = len(counts.own), counts.hot[END] == 0
+    # columns instead of a dict: they are small to ship, and each task makes its dict of them
+    words = list(counts.hot)
+    classes = np.array([counts.class_of(w) for w in words], np.int64)
+    logs = np.log10(np.array([counts.hot[w] for w in words], np.float64) + 1)
+    inside = np.where(classes < first_bucket, 0.0, logs - share[np.maximum(classes - first_bucket, 0)])
+    joined = pa.array(words, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table: dict[bytes, tuple[int, float, float]] = {}
         for b in batches:
+            if not table:
+                table.update(zip(joined.to_pylist(), zip(classes.tolist(), logs.tolist(), inside.tolist(), strict=True), strict=True))
             out: dict[str, list] = {n: [] for n in ("codes", "n_tokens", "known", "base", "inside", "cold")}
             for raw in raw_texts(b):
                 words = [*words_of(raw), END]
@@ -243,7 +253,7 @@ def code(texts: DataFrame, counts: Counts, train: Column) -> DataFrame:
                 rows = np.array(found)
                 out["codes"].append(rows[:, 0].astype("<u2").tobytes())
                 out["n_tokens"].append(len(words))
-                out["known"].append(len(words) - sum(cold.values()) - (hot[END] == 0))
+                out["known"].append(len(words) - sum(cold.values()) - end_unseen)
                 out["base"].append(rows[:, 1].sum() - total * len(words))
                 out["inside"].append(rows[:, 2].sum())
                 out["cold"].append([{"token": w, "n": n} for w, n in cold.items()])
