@@ -198,8 +198,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     chosen = nodes.join(mates.select("fp").distinct(), "fp", "left_semi")
     found = rows.join(chosen.select("id", "fp", "keys"), "id")
     # an id that stands for several texts brings texts that are not its node's: only one whose set is the node's counts
-    held = scratch.keep(_own_texts(found, words), "texts").dropDuplicates(["fp"])
-    held = held.select("fp", "keys", "text")
+    held = scratch.keep(_own_texts(found, words).dropDuplicates(["fp"]), "texts")
 
     pairs = mates.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     pairs = pairs.join(held.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
