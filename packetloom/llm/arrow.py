@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def as_schema(schema: str | T.StructType) -> T.StructType:
@@ -26,13 +26,13 @@ def slices(batch: pa.RecordBatch, at_most: int = SLICE_BYTES) -> Iterator[pa.Rec
         yield batch.slice(i, step)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``fn`` gets bounded record batches and yields dicts of columns; each becomes a batch of ``schema``."""
     struct = as_schema(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(part for b in batches for part in slices(b)):
+        for columns in fn(part for b in batches for part in slices(b, slice_bytes)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
