@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import packet, text
@@ -331,6 +331,51 @@ def binary_overlap(spark, d):
     return m.agg(F.max("equal").alias("overlap"))
 
 
+def _halves(spark, d, *cols: Column) -> tuple[DataFrame, DataFrame]:
+    """All events in order, numbered without holes in ``at`` and cut in the middle; ``n`` is the first half's length."""
+    e = seq.scan(events(spark, d).select("event_id", *cols), [], "event_id", sums={"at": F.lit(1).cast("long")}).withColumn("at", F.col("at") - 1)
+    e = e.crossJoin(F.broadcast(e.agg(F.floor(F.count(F.lit(1)) / 2).alias("n"))))
+    return e.where("at < n"), e.where("at >= n")
+
+
+@query
+def anchor4_match_whole(spark, d):
+    """Places (in event order, from 0) in the first half of all events at which four events recur in the second half. The SQL of
+    anchor4_match holds for a window of the table only; here no event is left out, and finer tokens keep the join small."""
+    a, b = _halves(spark, d, F.concat("event_type", (F.col("user_id") % 64).cast("string")).alias("token"))
+    return seq.ngram_matches(a, b, 4, "at", "token")
+
+
+#: Primes whose products fit a long, and the bases of the powers that weigh a position.
+_MODULI = ((2147483647, 1103515245), (2147483629, 1664525))
+
+
+def _power(base: int, i: Column, p: int) -> Column:
+    """base ** i modulo p, for i up to 40 bits."""
+    out = F.lit(1).cast("long")
+    for k in range(40):
+        out = out * F.when(F.shiftright(i, k).bitwiseAND(1) == 1, pow(base, 1 << k, p)).otherwise(1) % p
+    return out
+
+
+@query
+def binary_overlap_whole(spark, d):
+    """The longest suffix of the first half of all events that is a prefix of the second, 32 at least, null if there is none. Each length is
+    one row: weighted running sums of both halves (modulo two primes, 62 bits together) are equal if the stretches are."""
+    a, b = _halves(spark, d, F.xxhash64("user_id", "event_type").alias("h"))
+    a = a.select(F.col("at").alias("i"), "n", "h")
+    b = b.select((F.col("at") - F.col("n")).alias("i"), "h")
+    term = lambda p, r: F.pmod("h", F.lit(p)) * _power(r, F.col("i"), p) % p
+    sums = {f"s{k}": term(p, r) for k, (p, r) in enumerate(_MODULI)}
+    a = seq.scan(a, [], "i", sums=sums).withColumns({f"t{k}": F.col(f"s{k}") - term(p, r) for k, (p, r) in enumerate(_MODULI)})
+    b = seq.scan(b, [], "i", sums=sums).select((F.col("i") + 1).alias("size"), *[F.col(x).alias(f"b_{x}") for x in sums])
+    last = a.where("i = n - 1").select(*[F.col(x).alias(f"all_{x}") for x in sums])
+    m = a.withColumn("size", F.col("n") - F.col("i")).where("size >= 32").crossJoin(F.broadcast(last)).join(b, "size")
+    for k, (p, r) in enumerate(_MODULI):
+        m = m.where((F.col(f"all_s{k}") - F.col(f"t{k}")) % p == _power(r, F.col("i"), p) * (F.col(f"b_s{k}") % p) % p)
+    return m.agg(F.max("size").alias("overlap"))
+
+
 @query
 def donor_choice(spark, d):
     li = read_table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.round(F.col("l_quantity")).cast("long")).alias("q"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("errors"))
