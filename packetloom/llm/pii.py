@@ -5,8 +5,11 @@ Chained transducers make the normalised form. Each rewrites some stretches of it
 it writes from which source characters it comes, so a span of the last output is a span of the source:
 
 1. look-alike characters become ASCII, invisible ones vanish;
-2. runs of spelled digits ("four one two ...") become digits;
-3. disguised "at" and "dot" become "@" and ".".
+2. disguised "dot" becomes a mark, which ends as ".";
+3. runs of spelled digits ("four one two ..."), marks between them included, become digits;
+4. disguised "at" becomes "@".
+
+Each reads what the one before it wrote, and is skipped only for texts that lack what its pattern needs.
 
 Identifiers of the source itself ("base") are leftmost, non-overlapping per kind: e-mail addresses, IPv4 addresses with parts up to
 255, cards of 16 to 19 digits that pass Luhn, phone numbers of 8 to 15 digits after "+". Spans that only the normalised form
@@ -95,14 +98,15 @@ def _plain(c: str) -> str:
 
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_DIGITS) + ")"
-#: Fewer digits than the shortest identifier has are prose.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_WORD}|[0-9]+)[ ,-]{{1,2}}){{5,}}(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
-_ONE = re.compile(_WORD, re.I)
-_ITEM = re.compile(rf"{_WORD}|[0-9]+", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_WORD}|[0-9]++)(?:[ ,-]{{1,2}}|\x00))+(?:{_WORD}|[0-9]++)(?![A-Za-z0-9])", re.I | re.A)
+#: Fewer digits are prose, unless dots part them as in an address.
+_LEAST = 6
+_ONE = re.compile(_WORD, re.I | re.A)
+_ITEM = re.compile(rf"{_WORD}|[0-9]+", re.I | re.A)
 _OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_DOT = re.compile(rf"{_OPEN}(?:dot|\.){_SHUT}|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
-_AT = re.compile(rf"{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+\x00)", re.I)
-_HINT = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}>]| dot ", re.I)
+_DOT = re.compile(rf"{_OPEN}(?:dot|\.){_SHUT}|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I | re.A)
+_AT = re.compile(rf"{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+\x00)", re.I | re.A)
+_HINT = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}>]|[ \t]dot[ \t]", re.I | re.A)
 
 
 class Traced:
@@ -129,55 +133,50 @@ class Traced:
 
 def _digits_of(t: Traced) -> Iterator[tuple[int, int, str]]:
     for run in _SPELLED.finditer(t.text):
-        if _ONE.search(run[0]):
+        if not _ONE.search(run[0]):
+            continue
+        items = [(run.start() + m.start(), run.start() + m.end(), _DIGITS.get(m[0].lower(), m[0])) for m in _ITEM.finditer(run[0])]
+        if sum(len(d) for *_, d in items) >= _LEAST or run[0].count("\x00") >= 3:
             at = run.start()
-            for m in _ITEM.finditer(run[0]):
-                a = run.start() + m.start()
-                if at < a:  # what stands between digits vanishes
+            for a, b, d in items:
+                if at < a and t.text[a - 1] != "\x00":  # what stands between digits vanishes
                     yield at, a, ""
-                at = run.start() + m.end()
-                yield a, at, _DIGITS.get(m[0].lower(), m[0])
+                yield a, b, d
+                at = b
 
 
-def normalise(text: str, odd: bool, spelled: bool, disguised: bool) -> Traced:
-    t = Traced(text)
-    if odd:
-        t = t.rewrite((m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text))
-    if spelled:
-        t = t.rewrite(_digits_of(t))
-    if disguised or odd:
-        # dots are marked first: a bare "at" counts only before a name that a disguised dot follows
+_LETTERS = bytes(c | 32 if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+_DIGIT_WORDS = frozenset(w.encode() for w in _DIGITS)
+
+
+def normalise(text: str, gated: bool = True) -> Traced:
+    """All transducers in order. What a gate asks for is part of every match of the pattern it stands before."""
+    t = Traced(text.replace("\x00", "\x01"))  # the mark is free; neither sign is part of an identifier
+    if not gated or not text.isascii():
+        t = t.rewrite((m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(t.text))
+    words = set(t.text.encode("utf-8", "replace").translate(_LETTERS).split()) if gated else set()
+    # a bare "at" counts only before a name that a disguised dot follows, so it needs a sign too
+    signs = not gated or ((b"dot" in words or any(c in t.text for c in "[({<")) and _HINT.search(t.text) is not None)
+    if signs:
         t = t.rewrite((m.start(), m.end(), "\x00") for m in _DOT.finditer(t.text))
+    if not gated or not _DIGIT_WORDS.isdisjoint(words):
+        t = t.rewrite(_digits_of(t))
+    if signs:
         t = t.rewrite((m.start(), m.end(), "@") for m in _AT.finditer(t.text))
         t = t.rewrite((m.start(), m.end(), ".") for m in re.finditer("\x00", t.text))
     return t
 
 
-_LETTERS = bytes(c | 32 if chr(c).isalpha() and c < 128 else c if c >= 128 else 32 for c in range(256))
-_DIGIT_WORDS = frozenset(w.encode() for w in _DIGITS)
-
-
-def hints(text: str) -> tuple[bool, bool, bool]:
-    """Which transducers have work: look-alikes, spelled digits, disguised signs."""
-    odd = not text.isascii() and _ODD.search(text) is not None
-    words = text.encode("utf-8", "replace").translate(_LETTERS).split()
-    spelled = sum(map(_DIGIT_WORDS.__contains__, words)) >= 5 and _SPELLED.search(text) is not None
-    signs = b"dot" in words or any(c in text for c in "[({<")
-    return odd, spelled, signs and _HINT.search(text) is not None
-
-
 def spans_of(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind's number, start, end, base) by kind and start."""
     base = find(text)
     out = [(*x, True) for x in base]
-    flags = hints(text)
-    if any(flags):
-        t = normalise(text, *flags)
-        if t.text != text:
-            for kind, a, b in find(t.text):
-                start, end = int(t.starts[a]), int(t.ends[b - 1])
-                if text[start:end] != t.text[a:b] and all(end <= s or e <= start for _, s, e in base):
-                    out.append((kind, start, end, False))
+    t = normalise(text)
+    if t.text != text:
+        for kind, a, b in find(t.text):
+            start, end = int(t.starts[a]), int(t.ends[b - 1])
+            if text[start:end] != t.text[a:b] and all(end <= s or e <= start for _, s, e in base):
+                out.append((kind, start, end, False))
         out.sort()
     return out
 
