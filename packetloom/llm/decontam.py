@@ -5,9 +5,13 @@ a stretch shares at least ``m + 1 - q * (k + 1)`` of the item's q-grams with it,
 that an item has are counted in diagonal bands that overlap by ``k``, so every such interval of diagonals lies in one of them; bands below
 the bound are dropped, and the others are verified by an alignment confined to the band. Nothing within the budget is lost.
 
+The lemma says nothing of more than ``m // q - 1`` edits, so that is the most an item gets: ``rate`` in full from 32 characters on, at times one edit
+less from 10 to 31 (none up to 15). Items of fewer than ``q`` characters have to stand in the text as they are, not as part of a longer
+word (scripts written without blanks have no such borders).
+
 Texts compare with capitals lowered and control characters as spaces, one character for one, so positions are those of the source (code
 points, ends exclusive). Items are read in chunks of at most ``CHUNK_CHARS`` characters, one pass over the documents each, so what a task holds
-is bounded however large the benchmark. Items of fewer than ``MIN_CHARS`` characters and null items take no part; null documents match
+is bounded however large the benchmark. Items without a visible character and null items take no part; null documents match
 nothing; whole texts are scanned; repeated rows give repeated results.
 """
 
@@ -24,12 +28,13 @@ from pyspark.sql import functions as F
 from packetloom.llm.arrow import map_arrow, texts
 
 Q, RATE = 8, 0.1
-MIN_CHARS = 32
 CHUNK_CHARS = 1 << 20
 HITS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _FILTER_BITS = 22
+# whether a character goes on a word that stands beside it: not in scripts without blanks, nor beyond the table
+_JOINS = np.array([chr(c).isalnum() and not (0xE00 <= c < 0x10A0 or 0x1780 <= c < 0x1800 or 0x2E80 <= c < 0xA4D0 or 0xF900 <= c < 0xFB00) for c in range(0x20000)] + [False])
 
 
 def normal(text: str) -> np.ndarray:
@@ -65,10 +70,17 @@ class Items:
     item: np.ndarray
     pos: np.ndarray
     bits: np.ndarray
+    short: dict[int, dict[bytes, list[int]]]  # by length, then codes: the ids of items of fewer than q characters
 
 
 def index(items: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Items:
-    codes = [normal(t) for _, t in items]
+    short: dict[int, dict[bytes, list[int]]] = {}
+    visible = [(i, c) for i, c in ((i, normal(t)) for i, t in items) if (c != 32).any()]
+    for i, c in visible:
+        if len(c) < q:
+            short.setdefault(len(c), {}).setdefault(c.tobytes(), []).append(i)
+    visible = [(i, c) for i, c in visible if len(c) >= q]
+    codes = [c for _, c in visible]
     m = np.array([len(c) for c in codes], np.int64)
     k = np.minimum((m * rate).astype(np.int64), m // q - 1)
     bound = np.maximum(1, m + 1 - q * (k + 1))
@@ -81,7 +93,7 @@ def index(items: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Items
     hashes, at = np.unique(h[order], return_index=True)
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in items], codes, k, bound, width, hashes, np.append(at, len(h)), item[order], pos[order], bits)
+    return Items([i for i, _ in visible], codes, k, bound, width, hashes, np.append(at, len(h)), item[order], pos[order], bits, short)
 
 
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -102,15 +114,39 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int,
     return int(row[best] >> 32), int(row[best] & (one - 1)), int(len(item) + diag[best])
 
 
+def _search_short(every: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tool: Items) -> list[list[tuple[int, int, int, int]]]:
+    """The hits of short items, which stand as they are and do not overlap one another of their item."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in lengths]
+    joins = _JOINS[np.minimum(every, len(_JOINS) - 1)]
+    for n, known in tool.short.items():
+        mine = grams(np.frombuffer(b"".join(known), "<u4"), n)[::n]
+        h = grams(every, n)
+        at = np.flatnonzero(np.isin(h, mine))
+        doc = np.searchsorted(starts + lengths, at, "right")
+        inner, last = at > starts[doc], at + n < starts[doc] + lengths[doc]
+        bound = inner & joins[at] & joins[at - 1] | last & joins[at + n - 1] & joins[np.minimum(at + n, len(every) - 1)]
+        free = (at - starts[doc] + n <= lengths[doc]) & ~bound
+        ends: dict[tuple[int, bytes], int] = {}
+        for a, d in zip(at[free].tolist(), doc[free].tolist(), strict=True):
+            code = every[a : a + n].tobytes()
+            if code in known and ends.get((d, code), 0) <= (s := a - int(starts[d])):
+                ends[d, code] = s + n
+                out[d] += [(i, s, s + n, 0) for i in known[code]]
+    return out
+
+
 def search(many: list[str], tool: Items, q: int = Q) -> list[list[tuple[int, int, int, int]]]:
     """For each text the (item, start, end, edits) that it holds; of overlapping places of an item the best, then first, one."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in many]
     docs = [normal(t) for t in many]
     lengths = np.array([len(d) for d in docs], np.int64)
-    if not lengths.sum() or not len(tool.hashes):
+    if not lengths.sum():
         return out
     every = np.concatenate(docs)
     starts = np.cumsum(lengths) - lengths
+    short = _search_short(every, starts, lengths, tool) if tool.short else out
+    if not len(tool.hashes):
+        return [sorted(x) for x in short]
     h = grams(every, q)
     near = np.flatnonzero(tool.bits[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     found = np.searchsorted(tool.hashes, h[near])
@@ -155,13 +191,13 @@ def search(many: list[str], tool: Items, q: int = Q) -> list[list[tuple[int, int
         for x in sorted(hits, key=lambda x: (x[3], x[1], x[2])):
             if all(x[0] != y[0] or x[2] <= y[1] or y[2] <= x[1] for y in kept):
                 kept.append(x)
-        out[d] = sorted((tool.ids[i], s, e, n) for i, s, e, n in kept)
+        out[d] = sorted([(tool.ids[i], s, e, n) for i, s, e, n in kept] + (short[d] if tool.short else []))
     return out
 
 
 def chunks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
     """Items in chunks of at most ``CHUNK_CHARS`` characters (a longer item is a chunk of its own), one partition of them at a time."""
-    rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where((F.char_length("text") >= MIN_CHARS) & F.col("id").isNotNull()).distinct()
+    rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where((F.char_length("text") > 0) & F.col("id").isNotNull()).distinct()
     part, size = [], 0
     for r in rows.toLocalIterator():
         if part and size + len(r["text"]) > CHUNK_CHARS:
