@@ -86,18 +86,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _profiles(df: DataFrame, words: int) -> DataFrame:
-    """(id, n, fp, keys) of (id, text)."""
+    """(id, th, n, fp, keys) of (id, text, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             sets = shingle_sets(raw_texts(b), words)
             keys = band_keys(signatures(sets))
             yield {
-                "id": b.column("id"), "n": [len(s) for s in sets], "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "id": b.column("id"), "th": b.column("th"), "n": [len(s) for s in sets], "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "keys": [k.tolist() if len(s) else None for k, s in zip(keys, sets, strict=True)],
             }
 
-    return map_arrow(df, run, "id long, n long, fp binary, keys array<long>")
+    return map_arrow(df, run, "id long, th long, n long, fp binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -184,11 +184,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     in groups: their component is null and they are kept. Repeated rows are members of one group and are told apart by
     nothing: those with the smallest key are all kept. An empty table gives no rows. Other columns are not read.
     """
+    profiles, grouped = _groups(df, key, text, words, percent)
+    least = grouped.groupBy("comp").agg(F.min("id").alias("component_id"))
+    home = grouped.join(least, "comp").select("fp", "component_id")
+    out = profiles.select("id", "n", "fp").join(home, "fp", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def _groups(df: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of each row, and each set's first row (id, th: the text's hash) and group (fp, id, th, comp)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    profiles = scratch.keep(_profiles(rows, words), "profiles")
-    nodes = profiles.where("n > 0 and id is not null").groupBy("fp").agg(F.min(F.struct("id", "keys")).alias("x")).select("fp", "x.id", "x.keys")
+    profiles = scratch.keep(_profiles(rows.withColumn("th", F.xxhash64("text")), words), "profiles")
+    nodes = profiles.where("n > 0 and id is not null").groupBy("fp").agg(F.min(F.struct("id", "th", "keys")).alias("x")).select("fp", "x.id", "x.th", "x.keys")
     nodes = scratch.keep(nodes, "nodes")
     deal = nodes.select("fp", F.posexplode("keys").alias("band", "bucket"))
     hubs = deal.groupBy("band", "bucket").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -224,13 +235,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     if not more.isEmpty():
         labels = components(edges.unionByName(more), scratch)
 
-    grouped = nodes.select("fp", "id").join(labels, nodes.fp == labels.node, "left").select("fp", "id", F.coalesce("comp", "fp").alias("comp"))
-    least = grouped.groupBy("comp").agg(F.min("id").alias("component_id"))
-    home = grouped.join(least, "comp").select("fp", "component_id")
-    out = profiles.select("id", "n", "fp").join(home, "fp", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    return profiles, nodes.select("fp", "id", "th").join(labels, nodes.fp == labels.node, "left").select("fp", "id", "th", F.coalesce("comp", "fp").alias("comp"))
 
 
 def _own_texts(found: DataFrame, words: int) -> DataFrame:
@@ -244,11 +249,13 @@ def _own_texts(found: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df``, all columns, that stay when one document of each group does: the one with the smallest key.
+    """The rows of ``df``, all columns, that stay when one document of each group does: the one with the smallest key, then text hash.
 
-    Repeated rows (same key, same text) become one; rows with null keys stay.
+    Repeated rows (same key, same text) become one; rows with null keys and rows without words stay. Rows that only share a key are told apart.
     """
-    stays = near_duplicates(df, key, text, words, percent).where("kept").select(F.col(key).alias("__key")).where("__key is not null").distinct()
-    known = df.where(F.col(key).isNotNull())
-    known = known.join(stays, known[key] == F.col("__key"), "left_semi").withColumn("__text", F.xxhash64(text)).dropDuplicates([key, "__text"]).drop("__text")
+    profiles, grouped = _groups(df, key, text, words, percent)
+    first = grouped.groupBy("comp").agg(F.min(F.struct("id", "th")).alias("x")).select("x.id", "x.th")
+    stays = first.unionByName(profiles.where("n = 0 and id is not null").select("id", "th")).select(F.col("id").alias("__key"), F.col("th").alias("__th"))
+    known = df.where(F.col(key).isNotNull()).withColumn("__text", F.xxhash64(text))
+    known = known.join(stays, (F.col(key) == F.col("__key")) & (F.col("__text") == F.col("__th")), "left_semi").dropDuplicates([key, "__text"]).drop("__text")
     return known.unionByName(df.where(F.col(key).isNull()))
