@@ -3,7 +3,8 @@ shunting-yard parser evaluates the expressions that follow tags.
 
 A text's ASCII capitals are lowered; words are runs of ASCII letters, digits and all characters beyond ASCII. Phrases match
 whole words that stand consecutively; places may overlap. Null texts are empty: no words, no places, score 0. Texts of
-any length are scanned whole. Repeated rows give repeated results; only the key and text columns are read.
+any length are scanned whole. Repeated rows give repeated results; an empty table gives no rows; only the key and text columns are read,
+whatever other columns there are. Of expressions that cannot be parsed the permissive licences named count as labels, and their verdict is null.
 """
 
 from __future__ import annotations
@@ -163,12 +164,18 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The base places of :func:`scan` summed up, and all labels."""
+    """The base places of :func:`scan` summed up, all labels, the tagged expressions (each with its verdict, joined by "; ") and ``permitted``: whether
+    permissive licences alone can meet all expressions, null where there is none or one cannot be parsed."""
     starts = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["word"])
     base = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["label"])
     every = F.concat(F.transform("places", lambda p: p["label"]), F.flatten(F.transform("expressions", lambda e: e["labels"])))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    verdict = lambda e: F.when(e["permitted"], "permitted").when(~e["permitted"], "not permitted").otherwise("malformed")
+    verdicts = F.transform("expressions", lambda e: e["permitted"])
+    known = (F.size("expressions") > 0) & ~F.exists(verdicts, lambda v: v.isNull())
     return scanned.select(
         "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(base).alias("base_labels"), joined(every).alias("labels"), "score",
+        F.array_join(F.transform("expressions", lambda e: F.concat(e["expression"], F.lit(": "), verdict(e))), "; ").alias("expressions"),
+        F.when(known, F.forall(verdicts, lambda v: v)).alias("permitted"),
     )
