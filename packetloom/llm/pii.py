@@ -13,16 +13,19 @@ Each reads what the one before it wrote, and is skipped only for texts that lack
 
 Identifiers of the source itself ("base") are leftmost, non-overlapping per kind: e-mail addresses, IPv4 addresses with parts up to
 255, cards of 16 to 19 digits that pass Luhn, phone numbers of 8 to 15 digits after "+". Spans that only the normalised form
-shows are added where they overlap no base span. Offsets count code points, ends exclusive. Null texts are empty; whole texts
-are read, in time linear in their length; repeated rows give repeated results; other columns pass through untouched.
+shows are added where they overlap no base span; those of different kinds may overlap one another, as base spans may. Offsets count code points, ends
+exclusive. Null texts are empty and have no spans; whole texts are read, in time that grows with their length (by a factor of its logarithm at most);
+repeated rows give repeated results; an empty table gives no rows. ``scan`` reads the key and the text alone; ``redact`` passes all other columns on.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -103,9 +106,11 @@ _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_WORD}|[0-9]++)(?:[ ,-]{{1,2}}|\
 _LEAST = 6
 _ONE = re.compile(_WORD, re.I | re.A)
 _ITEM = re.compile(rf"{_WORD}|[0-9]+", re.I | re.A)
-_OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
+# A run of blanks is tried once, from its first one: bare words stand after a letter or digit, and the blanks around brackets are added by _disguised.
+_OPEN, _SHUT = r"[\[({<][ \t]*", r"[ \t]*[\])}>]"
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.){_SHUT}|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I | re.A)
-_AT = re.compile(rf"{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+\x00)", re.I | re.A)
+_AT = re.compile(rf"{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]++\x00)", re.I | re.A)
+_BLANKS = re.compile(r"[ \t]*")
 _HINT = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}>]|[ \t]dot[ \t]", re.I | re.A)
 
 
@@ -131,6 +136,17 @@ class Traced:
         return Traced("".join(pieces), np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
 
 
+def _disguised(pattern: re.Pattern, t: Traced, new: str) -> Iterator[tuple[int, int, str]]:
+    """Places of a disguised sign, with the blanks around its brackets."""
+    at = 0
+    for m in pattern.finditer(t.text):
+        a = m.start()
+        while a > at and t.text[a - 1] in " \t":
+            a -= 1
+        at = _BLANKS.match(t.text, m.end()).end()
+        yield a, at, new
+
+
 def _digits_of(t: Traced) -> Iterator[tuple[int, int, str]]:
     for run in _SPELLED.finditer(t.text):
         if not _ONE.search(run[0]):
@@ -158,11 +174,11 @@ def normalise(text: str, gated: bool = True) -> Traced:
     # a bare "at" counts only before a name that a disguised dot follows, so it needs a sign too
     signs = not gated or ((b"dot" in words or any(c in t.text for c in "[({<")) and _HINT.search(t.text) is not None)
     if signs:
-        t = t.rewrite((m.start(), m.end(), "\x00") for m in _DOT.finditer(t.text))
+        t = t.rewrite(_disguised(_DOT, t, "\x00"))
     if not gated or not _DIGIT_WORDS.isdisjoint(words):
         t = t.rewrite(_digits_of(t))
     if signs:
-        t = t.rewrite((m.start(), m.end(), "@") for m in _AT.finditer(t.text))
+        t = t.rewrite(_disguised(_AT, t, "@"))
         t = t.rewrite((m.start(), m.end(), ".") for m in re.finditer("\x00", t.text))
     return t
 
@@ -173,9 +189,12 @@ def spans_of(text: str) -> list[tuple[int, int, int, bool]]:
     out = [(*x, True) for x in base]
     t = normalise(text)
     if t.text != text:
+        taken = sorted((s, e) for _, s, e in base)
+        begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for kind, a, b in find(t.text):
             start, end = int(t.starts[a]), int(t.ends[b - 1])
-            if text[start:end] != t.text[a:b] and all(end <= s or e <= start for _, s, e in base):
+            before = bisect_left(begins, end)  # base spans that begin ahead of this one's end
+            if text[start:end] != t.text[a:b] and not (before and reach[before - 1] > start):
                 out.append((kind, start, end, False))
         out.sort()
     return out
@@ -222,8 +241,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, and all spans as text."""
+    """Counts and digest of the base spans, and number and text of all spans."""
     base = F.filter("spans", lambda s: s["base"])
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return scanned.select("doc_id", *[count(k) for k in KINDS], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return scanned.select("doc_id", *[count(k) for k in KINDS], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

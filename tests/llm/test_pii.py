@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +64,23 @@ def test_tables(spark):
     assert sorted((r.n_email, r.n_ip, r.spans) for r in out) == [(0, 0, ""), (0, 0, ""), (0, 1, "ip:0:7"), (1, 0, "email:5:11"), (1, 0, "email:5:11")]
     assert pii.scan(df.limit(0)).count() == 0
     assert sorted(r.text or "" for r in pii.redact(df).collect()) == ["", "", "[IP]", "mail [EMAIL]", "mail [EMAIL]"]
+
+
+def test_hard_texts_take_time_in_proportion():
+    hint = "jo [at] mail [dot] example (dot) org "
+    for filler in (" ", "\t", "-", "a", "(", "[ ", "dot ", "1 ", "one ", "at ", "@", "+1", ". "):
+        text = hint + filler * (1_000_000 // len(filler)) + hint
+        start = time.process_time()
+        spans = pii.spans_of(text)
+        assert time.process_time() - start < 8, filler
+        assert spans[0][:2] == (0, 0) and not spans[0][3]
+    many = "mail a@b.co or jo [at] x [dot] org " * 20_000
+    start = time.process_time()
+    assert len(pii.spans_of(many)) == 40_000 and time.process_time() - start < 8
+
+
+def test_blanks_around_brackets():
+    for text in ("jo  [ at ]  x  ( dot )  org", "jo[at]x[dot]org", "jo [at][ ] x", "a [dot] [dot] b@c [dot] d", "x [dot] y dot z at q"):
+        wide = pii.normalise(text).text
+        assert " @" not in wide and "@ " not in wide and " ." not in wide.replace("[ ]", "")
+    assert found("a@b [dot]  co") == [("email", "a@b [dot]  co", False)]
