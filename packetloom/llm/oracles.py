@@ -29,11 +29,12 @@ s as (select doc_id, k, octet_length(raw) + 1 as size,
   case when octet_length(raw) = 0 then 0 else xor(4294967295, list_reduce([4294967295::bigint] ||
     list_transform(regexp_extract_all(hex(raw), '..'), lambda j: ('0x' || j)::bigint),
     lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) end as text_crc32,
-  {_descend(tree)} as shard, {_descend(sharding.grown(tree))} as grown_shard,
-  ('0x' || substr(md5(k || '#'), 1, 8))::bigint % {sharding.SLOT_BUCKETS} as bucket from d, tab)
+  {_descend(tree)} as shard, {_descend(sharding.grown(tree))} as grown_shard
+  from d, tab),
+b as (select *, ('0x' || substr(md5(k || '#' || text_crc32::bigint || '#' || size || '#'), 1, 8))::bigint % {sharding.SLOT_BUCKETS} as bucket from s)
 select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard,
-  (row_number() over (partition by shard order by bucket, doc_id nulls first) - 1)::bigint as slot,
-  grown_shard::int as grown_shard from s"""
+  (row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size) - 1)::bigint as slot,
+  grown_shard::int as grown_shard from b"""
 
 
 CHAT = r"""

@@ -87,25 +87,28 @@ def shard_of(key: Column, tree: Node) -> Column:
     return _descend(F.coalesce(key.cast("string"), F.lit("")), tree).cast("int")
 
 
-def with_slots(df: DataFrame, shard: str, key: str, buckets: int = SLOT_BUCKETS) -> DataFrame:
+def with_slots(df: DataFrame, shard: str, key: str, ties: tuple[str, ...] = (), buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Adds ``slot``: gapless from 0 in each shard, without bringing a shard's rows together.
 
-    Rows are numbered in (shard, bucket of the key); the bucket's first number is a running sum over the counts, which
-    are at most shards x ``buckets`` rows whatever the input. Ties of the key get any order, each its own slot.
+    Rows are numbered in (shard, bucket of the key and the ``ties``); the bucket's first number is a running sum over the counts, which
+    are at most shards x ``buckets`` rows whatever the input. Rows of one key are spread and ordered by the columns ``ties``, so a key
+    that many rows share is not one task's, and a task that runs again numbers them alike. Rows equal in all of these are told
+    apart by nothing: which of their slots each gets makes no difference.
     """
-    bucketed = df.withColumn("__bucket", _bucket(F.col(key), buckets))
+    bucketed = df.withColumn("__bucket", _bucket([key, *ties], buckets))
     counts = bucketed.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(shard, "__bucket", before.alias("__from"))
-    row = F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(F.col(key).asc_nulls_first()))
+    row = F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in (key, *ties)]))
     return (
         bucketed.withColumn("__row", row).join(F.broadcast(starts), [shard, "__bucket"])
         .withColumn("slot", (F.col("__from") + F.col("__row") - 1).cast("long")).drop("__bucket", "__row", "__from", "__n")
     )
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("#"))), 1, 8), 16, 10)
+def _bucket(columns: list[str], buckets: int) -> Column:
+    parts = [x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("#"))]
+    bits = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10)
     return (bits.cast("long") % buckets).cast("int")
 
 
@@ -122,4 +125,4 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", tree: Node |
         F.col(key), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"), shard_of(F.col(key), tree).alias("shard"), shard_of(F.col(key), more).alias("grown_shard"),
     )
-    return with_slots(rows, "shard", key).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(rows, "shard", key, ("text_crc32", "size")).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
