@@ -6,9 +6,13 @@ for all elements of a text at once and stop when all slots are filled, which the
 
 Texts with equal shingle sets become one node first, so exact copies cost no pairs. A node shares a bucket with another if all rows of
 a band agree; 24 bands of 4 rows miss a pair at similarity 0.8 with a probability of 3e-6. In each bucket, every member is verified
-against one hub, on whole sets. Members that are not yet connected after that are verified against the rest of their bucket in
-blocks, so no candidate goes unchecked, while a group of copies costs a number of verifications in proportion to its size. Pairs
-never become rows of a join. Components come from min-label propagation with pointer jumping over tables in the shared folder.
+on whole sets against the hub of its salt, and those hubs against the bucket's, so no bucket meets in one task. Members that are not connected
+after that are met with the rest of their bucket in blocks, by sizes and one byte of each signature slot first (a pair at 0.8 falls short of the
+agreement asked for with a probability of 5e-7). Blocks that leave few pairs give these to verification; texts travel to the other blocks and are
+verified there. So no candidate goes unchecked, a group of copies costs a number of verifications in proportion to its size, and
+texts that merely share a template cost sketches. Components come from min-label propagation with pointer jumping over tables in the shared folder.
+
+Sets are compared as sets of 64-bit shingle hashes (see shingles.py).
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,9 @@ from packetloom.session import Scratch
 
 BANDS, ROWS = 24, 4
 BLOCK = 128
+SALTS = 64
+#: A block gives up to so many pairs a member; beyond that its texts are fetched.
+SPARSE = 2
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,18 +92,19 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _profiles(df: DataFrame, words: int) -> DataFrame:
-    """(id, th, n, fp, keys) of (id, text, th)."""
+    """(id, th, n, fp, keys, sketch) of (id, text, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             sets = shingle_sets(raw_texts(b), words)
-            keys = band_keys(signatures(sets))
+            sigs = signatures(sets)
+            keys, sketch = band_keys(sigs), mix(sigs).astype(np.uint8)
             yield {
                 "id": b.column("id"), "th": b.column("th"), "n": [len(s) for s in sets], "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "keys": [k.tolist() if len(s) else None for k, s in zip(keys, sets, strict=True)],
+                "keys": [k.tolist() if len(s) else None for k, s in zip(keys, sets, strict=True)], "sketch": [k.tobytes() for k in sketch],
             }
 
-    return map_arrow(df, run, "id long, th long, n long, fp binary, keys array<long>")
+    return map_arrow(df, run, "id long, th long, n long, fp binary, keys array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -115,6 +122,38 @@ def _verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return map_arrow(pairs, run, "a binary, b binary")
 
 
+def agreement(percent: int, slots: int = BANDS * ROWS) -> int:
+    """Slots that a pair at ``percent`` shares, less five standard deviations."""
+    p = percent / 100
+    return int(slots * p - 5 * (slots * p * (1 - p)) ** 0.5)
+
+
+def _block_pairs(percent: int):
+    """For one block of minority members against one block of a bucket: the pairs that sizes and sketches leave, or, if these are many, one row without a pair."""
+    least = agreement(percent)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        few = np.array(table.column("few").to_pylist())
+        n = table.column("n").to_numpy()
+        fps = table.column("fp").to_pylist()
+        comp = np.unique(np.array(table.column("comp").to_pylist()), return_inverse=True)[1]
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(fps), -1)
+        others, found = np.flatnonzero(~few), []
+        for i in np.flatnonzero(few).tolist():
+            near = (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])) & (comp[others] != comp[i])
+            some = others[near]
+            some = some[(sketch[some] == sketch[i]).sum(1) >= least]
+            # a pair that shares an earlier band as well is checked there
+            found += [(fps[i], fps[j]) for j in some[(keys[some] == keys[i]).argmax(1) == key[0].as_py()].tolist()]
+        if len(found) > SPARSE * len(fps):
+            found = [(None, None)]
+        where = {c: pa.array([k.as_py()] * len(found), k.type) for c, k in zip(("band", "bucket", "i", "j"), key, strict=True)}
+        return pa.table(where | {"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+
+    return run
+
+
 def _block_links(words: int, percent: int):
     """For one block of minority members against one block of a bucket: links that connect components, without repeats."""
 
@@ -199,39 +238,52 @@ def _groups(df: DataFrame, key: str, text: str, words: int, percent: int) -> tup
     scratch = Scratch(spark, "near")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = scratch.keep(_profiles(rows.withColumn("th", F.xxhash64("text")), words), "profiles")
-    nodes = profiles.where("n > 0 and id is not null").groupBy("fp").agg(F.min(F.struct("id", "th", "keys")).alias("x")).select("fp", "x.id", "x.th", "x.keys")
+    nodes = profiles.where("n > 0 and id is not null").groupBy("fp").agg(F.min(F.struct("id", "th", "keys", "sketch", "n")).alias("x")).select("fp", "x.*")
     nodes = scratch.keep(nodes, "nodes")
-    deal = nodes.select("fp", F.posexplode("keys").alias("band", "bucket"))
-    hubs = deal.groupBy("band", "bucket").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    mates = scratch.keep(deal.join(hubs, ["band", "bucket"]).select("fp", "band", "bucket", "hub"), "mates")
+    deal = nodes.select("fp", F.posexplode("keys").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    local = deal.groupBy("band", "bucket", "salt").agg(F.min("fp").alias("near"), F.count(F.lit(1)).alias("n"))
+    hubs = local.groupBy("band", "bucket").agg(F.min("near").alias("hub"), F.sum("n").alias("members")).where("members > 1")
+    # at most SALTS rows of a bucket meet here, and its members join by salt
+    local = scratch.keep(local.join(hubs, ["band", "bucket"]).select("band", "bucket", "salt", "near", "hub"), "hubs")
+    mates = scratch.keep(deal.join(local, ["band", "bucket", "salt"]).select("fp", "band", "bucket", "near", "hub"), "mates")
 
     # texts of the nodes that share a bucket with another; nothing else is read again
     chosen = nodes.join(mates.select("fp").distinct(), "fp", "left_semi")
-    found = rows.join(chosen.select("id", "fp", "keys"), "id")
+    found = rows.join(chosen.select("id", "fp"), "id")
     # an id that stands for several texts brings texts that are not its node's: only one whose set is the node's counts
     held = scratch.keep(_own_texts(found, words).dropDuplicates(["fp"]), "texts")
 
-    pairs = mates.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    pairs = pairs.join(held.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    pairs = pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    edges = scratch.keep(_verified(pairs, words, percent), "edges")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(held.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+        return _verified(pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a"), words, percent)
+
+    to_local = mates.where("fp <> near").select(F.col("near").alias("a"), F.col("fp").alias("b"))
+    to_hub = mates.where("fp = near and near <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    edges = scratch.keep(verified(to_local.unionByName(to_hub).distinct()), "edges")
     labels = components(edges, scratch)
 
-    # buckets in which members other than the hub belong to different components hold pairs that were not compared
-    rest = mates.where("fp <> hub").join(labels, mates.fp == labels.node, "left").select("fp", "band", "bucket", F.coalesce("comp", "fp").alias("comp"))
-    rest = rest.persist(StorageLevel.DISK_ONLY)
+    # buckets whose members belong to different components hold pairs that were not compared
+    rest = mates.join(labels, mates.fp == labels.node, "left").select("fp", "band", "bucket", F.coalesce("comp", "fp").alias("comp"))
+    rest = scratch.keep(rest, "rest")
     per = rest.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = per.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    open_ = open_.where("comps > 1")
-    members = rest.join(open_, ["band", "bucket"]).join(held, "fp")
+    open_ = scratch.keep(open_.where("comps > 1 and all > 2"), "open")  # two members were compared, as one of them is the hub
+    members = rest.join(open_, ["band", "bucket"]).join(nodes.select("fp", "keys", "sketch", "n"), "fp")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    shaped = members.select("fp", "comp", "keys", "text", "band", "bucket", (F.col("comp") != F.col("major")).alias("minor"), blocks("all").alias("nj"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.abs(F.hash("fp")).alias("h"))
+    shaped = members.select(
+        "fp", "comp", "keys", "sketch", "n", "band", "bucket", (F.col("comp") != F.col("major")).alias("minor"), blocks("all").alias("nj"),
+        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.abs(F.hash("fp")).alias("h"))
     few = shaped.where("minor").select("*", F.lit(True).alias("few"), F.expr("h % ni").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"))
-    many = shaped.select("*", F.lit(False).alias("few"), F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("(h div 7) % nj").alias("j"))
-    cols = ["band", "bucket", "i", "j", "few", "fp", "comp", "keys", "text"]
-    more = few.select(cols).unionByName(many.select(cols)).groupBy("band", "bucket", "i", "j").applyInArrow(_block_links(words, percent), as_schema("a binary, b binary"))
+    many = shaped.select("*", F.lit(False).alias("few"), F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("cast((h div 7) % nj as int)").alias("j"))
+    cell, cols = ["band", "bucket", "i", "j"], ["few", "fp", "comp", "keys", "sketch", "n"]
+    cells = few.select(*cell, *cols).unionByName(many.select(*cell, *cols))
+    left = scratch.keep(cells.groupBy(*cell).applyInArrow(_block_pairs(percent), as_schema("band int, bucket long, i int, j int, a binary, b binary")), "left")
+    more = verified(left.where("a is not null").select("a", "b").distinct())
+    dense = left.where("a is null").select(*cell)
+    if not dense.isEmpty():
+        crowded = cells.join(dense, cell, "left_semi").join(held, "fp")
+        more = more.unionByName(crowded.groupBy(*cell).applyInArrow(_block_links(words, percent), as_schema("a binary, b binary")))
     more = scratch.keep(more, "more")
-    rest.unpersist()
     if not more.isEmpty():
         labels = components(edges.unionByName(more), scratch)
 
@@ -243,9 +295,9 @@ def _own_texts(found: DataFrame, words: int) -> DataFrame:
         for b in batches:
             sets = shingle_sets(raw_texts(b), words)
             mask = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == f for s, f in zip(sets, b.column("fp").to_pylist(), strict=True)], pa.bool_())
-            yield {n: b.column(n).filter(mask) for n in ("fp", "keys", "text")}
+            yield {n: b.column(n).filter(mask) for n in ("fp", "text")}
 
-    return map_arrow(found.select("fp", "keys", "text"), run, "fp binary, keys array<long>, text string")
+    return map_arrow(found.select("fp", "text"), run, "fp binary, text string")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

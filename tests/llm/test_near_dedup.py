@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from packetloom.llm import near_dedup as nd
-from packetloom.llm.shingles import shingle_sets
+from packetloom.llm.shingles import shingle_sets, word_hashes
 
 
 def plain_sets(text, words):
@@ -79,3 +79,29 @@ def test_sets_and_signatures():
         assert (s != np.uint64(2**64 - 1)).all()
         true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
         assert abs((s[0] == s[1]).mean() - true) < 0.08
+
+
+def test_words_that_follow_a_rule_do_not_collide(spark):
+    bit = lambda i: "ab"[bin(i).count("1") % 2]
+    one = "".join(bit(i) for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(3))
+    assert got(spark, [(1, f"{rest} {one}"), (2, f"{rest} {two}"), (3, f"{rest} {one}")], words=4) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    words = [(a * n).encode() for a in ("a", "b", "ab", "é") for n in range(1, 700)] + [one[:k].encode() for k in range(1, 1024)]
+    h, _ = word_hashes([b" ".join(set(words))])
+    assert len(set(h.tolist())) == len(set(words))
+
+
+def test_a_template_whose_texts_are_apart(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    r = random.Random(5)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in r.sample(range(60), r.choice([3, 4, 5])):
+            w[k] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    for sparse in (0, 2, 10**9):
+        monkeypatch.setattr(nd, "SPARSE", sparse)
+        assert got(spark, rows) == plain(rows)
