@@ -1,17 +1,23 @@
 """Quality classifier: random-indexing word vectors, pooled per document, into a two-layer network with calibrated output.
 
-Each token has a sparse index vector drawn from a hash of it; the vector of a token of the vocabulary is its index vector plus the
-normalised sum of the index vectors of its neighbours in the training texts. A word gives three tokens: itself (or nothing, if it is not in the
-vocabulary), its shape (runs of capitals, small letters and digits collapsed, other signs kept) and, if it repeats the word before it, a
-mark. A document is the mean of its tokens' vectors over its words. The network has one hidden layer; its temperature is fitted
-on a part of the training rows that the weights did not see.
-
-The model is fitted in the driver on at most ``SAMPLE`` labelled texts, chosen by a hash of their keys; it never sees language, source or key.
-Scoring covers whole texts. Null texts are empty and score as a text without words. Without usable labels every score is 0.5.
+Each token has a sparse index vector of ones and minus ones, drawn from a hash of it; the vector of a token of the vocabulary is its index vector plus the
+normalised sum of the index vectors of its neighbours in the training texts. A word gives up to three tokens: itself (or the mark of an unseen word, if it is
+not in the vocabulary), its shape (runs of capitals, small letters and digits collapsed, other signs kept) and, if it repeats the word before it, a
+mark. Stretches without blanks beyond ``PIECE`` characters count as words of that length, so texts in one run are read whole. A document is the
+mean of its tokens' vectors over its words. The network has one hidden layer; its temperature is fitted on a part of the training rows that the
+weights did not see.
+
+The model is fitted on at most ``SAMPLE`` labelled texts, chosen by a hash of their keys; it never sees language, source or key. Executors count tokens, sum
+contexts (in whole numbers, so in any order) and pool the texts; the ``VOCABULARY`` most frequent tokens, their contexts and one pooled vector a
+text come to the driver, which trains the network: bounded by these parameters, whatever the length or number of the texts.
+
+Scoring covers whole texts. Null texts are empty and score as a text without words. Without usable labels every score is 0.5, with labels of one kind
+alone a constant. Repeated rows get equal scores, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,39 +29,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.arrow import map_arrow, texts
+from packetloom.llm.arrow import as_schema, map_arrow, texts
+from packetloom.llm.shingles import mix
+from packetloom.session import Scratch
 
 SAMPLE = 6000
 VOCABULARY = 8192
 WIDTH, HIDDEN, NONZERO, REACH = 128, 32, 8, 2
+PIECE = 32
 THRESHOLD = 0.3
-REPEAT = "\0repeat"
-_WORDS_KEPT = 200_000
+REPEAT, UNSEEN = "\0repeat", "\0unseen"
+_WORDS_KEPT = 100_000
+_BLOCKS = 16
+_PIECES = re.compile(rf"\S{{1,{PIECE}}}")
+
+
+def words_of(text: str) -> list[str]:
+    words = text.split()
+    return words if not words or max(map(len, words)) <= PIECE else _PIECES.findall(text)
 
 
 def shape(word: str) -> str:
-    """A word's signs with runs of letters and digits collapsed, at most 12 of them: ``Hello,`` is ``Aa,``."""
+    """A word's signs with runs of letters and digits collapsed: ``Hello,`` is ``Aa,``."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "\0" + "".join(out[:12])
+    return "\0" + "".join(out)
+
 
+def places(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed places of each token's NONZERO entries, and which of them are minus ones."""
+    h = np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in tokens], np.uint64)
+    u = np.stack([mix(h + np.uint64((k + 1) << 32)) for k in range(NONZERO)], 1)
+    return (u >> np.uint64(8)).astype(np.int64) % WIDTH, np.where(u & np.uint64(1), 1, -1)
 
-def index_vector(token: str) -> np.ndarray:
-    r = np.random.default_rng(zlib.crc32(token.encode("utf-8", "replace")))
-    v = np.zeros(WIDTH, np.float32)
-    v[r.choice(WIDTH, NONZERO, replace=False)] = r.choice([-1.0, 1.0], NONZERO)
-    return v / np.sqrt(NONZERO)
+
+def index_vectors(tokens: list[str]) -> np.ndarray:
+    """Tokens x WIDTH; entries that meet add up."""
+    at, sign = places(tokens)
+    flat = np.arange(len(tokens))[:, None] * WIDTH + at
+    return np.bincount(flat.ravel(), sign.ravel(), len(tokens) * WIDTH).astype(np.int64).reshape(-1, WIDTH)
 
 
 @dataclass
 class Model:
     vocabulary: dict[str, int]
     vectors: np.ndarray
-    layers: list[np.ndarray]
-    temperature: float
+    layers: list[np.ndarray] = field(default_factory=list)
+    temperature: float = 1.0
     constant: float | None = None
     _ids: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
@@ -63,13 +86,15 @@ class Model:
         """Rows of a word's own tokens."""
         got = self._ids.get(word)
         if got is None:
-            got = tuple(i for t in (word, shape(word)) if (i := self.vocabulary.get(t)) is not None)
-            if len(self._ids) < _WORDS_KEPT:
-                self._ids[word] = got
+            look = self.vocabulary.get
+            got = (look(word, look(UNSEEN)), *(i for i in (look(shape(word)),) if i is not None))
+            if len(self._ids) >= _WORDS_KEPT:
+                self._ids.clear()
+            self._ids[word] = got
         return got
 
     def pooled(self, text: str) -> np.ndarray:
-        words = text.split()
+        words = words_of(text)
         if not words:
             return np.zeros(WIDTH, np.float32)
         weights: Counter[int] = Counter()
@@ -101,37 +126,48 @@ def _forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, h @ c + d
 
 
-def _random_index(many: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """The vocabulary and its vectors, from the tokens of the training texts and their neighbours."""
+def count_tokens(many: list[str]) -> Counter[str]:
+    """Words and shapes of texts."""
     counts: Counter[str] = Counter()
     for t in many:
-        words = t.split()
-        counts.update(words)
-        counts.update(map(shape, words))
-    counts.pop(REPEAT, None)
-    vocabulary = {t: i for i, t in enumerate([REPEAT, *(t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: VOCABULARY - 1])])}
-    index = np.array([index_vector(t) for t in vocabulary])
-    context = np.zeros_like(index)
+        counts.update(words_of(t))
+    shapes: Counter[str] = Counter()
+    for w, n in counts.items():
+        shapes[shape(w)] += n
+    return counts + shapes
+
+
+def contexts_of(vocabulary: dict[str, int], many: list[str]) -> np.ndarray:
+    """For each token the sum of the index vectors of the tokens up to REACH places before and after it."""
+    at, sign = places(list(vocabulary))
+    of: dict[str, tuple[int | None, int | None]] = {}
+    near: list[np.ndarray] = []
     for t in many:
-        words = t.split()
-        line = [i for k, w in enumerate(words) for x in (w, shape(w), REPEAT if k and w == words[k - 1] else None) if x is not None and (i := vocabulary.get(x)) is not None]
-        ids = np.array(line, np.int64)
-        for d in range(1, REACH + 1):
-            if len(ids) > d:
-                np.add.at(context, ids[:-d], index[ids[d:]])
-                np.add.at(context, ids[d:], index[ids[:-d]])
-    size = np.linalg.norm(context, axis=1, keepdims=True)
-    return vocabulary, (index + 0.5 * context / np.where(size > 0, size, 1)).astype(np.float32)
-
-
-def fit(many: list[str], labels: list[int], epochs: int = 60, seed: int = 7) -> Model:
-    """A model for texts with labels 0 and 1; the same for the same rows in the same order."""
-    if len(set(labels)) < 2:
-        share = float(np.mean(labels)) if labels else 0.5
-        return Model({REPEAT: 0}, np.zeros((1, WIDTH), np.float32), [], 1.0, (share * len(labels) + 1) / (len(labels) + 2))
-    vocabulary, vectors = _random_index(many)
-    model = Model(vocabulary, vectors, [], 1.0)
-    x, y = np.array([model.pooled(t) for t in many], np.float64), np.array(labels, np.float64)
+        words, line = words_of(t), []
+        for k, w in enumerate(words):
+            if w not in of:
+                of[w] = vocabulary.get(w), vocabulary.get(shape(w))
+            line += of[w]
+            if k and w == words[k - 1]:
+                line.append(vocabulary[REPEAT])
+        ids = np.array([i for i in line if i is not None], np.int64)
+        near += [ids[:-d] * len(vocabulary) + ids[d:] for d in range(1, REACH + 1) if len(ids) > d]
+    # what comes together often is added once, times its number
+    pair, n = np.unique(np.concatenate([np.empty(0, np.int64), *near]), return_counts=True)
+    total = np.zeros(len(vocabulary) * WIDTH)
+    for own, other in (divmod(pair, len(vocabulary)), divmod(pair, len(vocabulary))[::-1]):
+        for k in range(NONZERO):
+            total += np.bincount(own * WIDTH + at[other, k], sign[other, k] * n, len(total))
+    return total.astype(np.int64).reshape(-1, WIDTH)
+
+
+def word_vectors(index: np.ndarray, context: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(context.astype(np.float64), axis=1, keepdims=True)
+    return (index / NONZERO**0.5 + 0.5 * context / np.where(size > 0, size, 1)).astype(np.float32)
+
+
+def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -> tuple[list[np.ndarray], float]:
+    """Weights and temperature for pooled vectors with labels 0 and 1; the same for the same rows in the same order."""
     r = np.random.default_rng(seed)
     order = r.permutation(len(y))
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
@@ -141,21 +177,27 @@ def fit(many: list[str], labels: list[int], epochs: int = 60, seed: int = 7) ->
     rates = [0.02 / (scale * WIDTH**0.5), 0.01, 0.01, 0.01]
     for _ in range(epochs):
         for part in np.array_split(r.permutation(own), max(1, len(own) // 128)):
-            h, z = _forward(layers, x[part])
-            g = (_sigmoid(z) - y[part]) / len(part)
-            back = np.outer(g, layers[2]) * (1 - h**2)
-            grads = [x[part].T @ back + 1e-5 * layers[0], back.sum(0), h.T @ g + 1e-4 * layers[2], np.array([g.sum()])]
+            grads = gradients(layers, x[part], y[part])
             step += 1
             for k, gk in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 v[k] = 0.999 * v[k] + 0.001 * gk**2
                 layers[k] = layers[k] - rates[k] * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    model.layers = layers
     part = held if len(held) else own
     z = _forward(layers, x[part])[1]
-    loss = lambda t: -np.mean(y[part] * np.log(_sigmoid(z / t) + 1e-12) + (1 - y[part]) * np.log(1 - _sigmoid(z / t) + 1e-12))
-    model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
-    return model
+    return layers, float(min(np.geomspace(0.25, 8, 61), key=lambda t: loss(z / t, y[part])))
+
+
+def loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(-np.mean(y * np.log(_sigmoid(z) + 1e-12) + (1 - y) * np.log(1 - _sigmoid(z) + 1e-12)))
+
+
+def gradients(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean loss, with weight decay."""
+    h, z = _forward(layers, x)
+    g = (_sigmoid(z) - y) / len(y)
+    back = np.outer(g, layers[2]) * (1 - h**2)
+    return [x.T @ back + 1e-5 * layers[0], back.sum(0), h.T @ g + 1e-4 * layers[2], np.array([g.sum()])]
 
 
 def remainder(key: Column, modulus: int) -> Column:
@@ -163,27 +205,72 @@ def remainder(key: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
+def chosen_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
+    """(key, label, text), at most ``sample`` rows: one for each chosen key, reduced before the shuffle however often the key comes."""
+    chosen = (
+        labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(F.col(key), 5) != 0)).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("__label"))
+        .orderBy(F.xxhash64(F.col("__key").cast("string"), F.lit("fit")), "__key").limit(sample)
+    )
+    raw = F.coalesce(F.col(text), F.lit("")).alias("text")
+    rows = df.select(F.col(key).alias("__key"), raw).join(F.broadcast(chosen), "__key")
+    return rows.groupBy("__key", "__label").agg(F.min(F.struct(F.crc32(F.col("text").cast("binary")).alias("c"), "text")).alias("x")).select("__key", "__label", "x.text")
+
+
 def fit_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on rows of ``df`` whose label is 0 or 1 and whose key's remainder modulo 5 is not 0, at most ``sample`` of them.
 
     Of several labels of one key the smallest counts; of several texts the one with the smallest checksum and then text."""
-    chosen = (
-        labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(F.col(key), 5) != 0)).groupBy(key).agg(F.min(label).alias("__label"))
-        .orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), key).limit(sample)
-    )
-    # at most ``sample`` rows by construction
-    rows = df.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key).select(key, "__label", F.coalesce("__text", F.lit("")).alias("__text")).collect()
-    best: dict = {}
-    for r in rows:
-        k = (zlib.crc32(r["__text"].encode("utf-8", "replace")), r["__text"])
-        if r[key] not in best or k < best[r[key]][0]:
-            best[r[key]] = (k, r["__label"])
-    ordered = [best[k] for k in sorted(best)]
-    return fit([k[1] for k, _ in ordered], [int(y) for _, y in ordered])
+    scratch = Scratch(df.sparkSession, "quality")
+    rows = scratch.keep(chosen_rows(df, labels, key, text, label, sample), "rows")
+    kinds = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(kinds) < 2:
+        return Model({}, np.zeros((0, WIDTH), np.float32), constant=(kinds.get(1, 0) + 1) / (sum(kinds.values()) + 2))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            seen += count_tokens(texts(b))
+            if len(seen) > _WORDS_KEPT:
+                yield {"token": list(seen), "n": list(seen.values())}
+                seen.clear()
+        yield {"token": list(seen), "n": list(seen.values())}
+
+    marks = [REPEAT, UNSEEN]
+    counts = map_arrow(rows.select("text"), tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where(~F.col("token").isin(marks))
+    frequent = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY - len(marks)).collect()
+    vocabulary = {t: i for i, t in enumerate([*marks, *(r["token"] for r in frequent)])}
+    index = index_vectors(list(vocabulary))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        context = np.zeros((len(vocabulary), WIDTH), np.int64)
+        for b in batches:
+            context += contexts_of(vocabulary, texts(b))
+        yield {"block": np.arange(_BLOCKS, dtype=np.int32), "sums": [x.tobytes() for x in np.array_split(context, _BLOCKS)]}
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.int64)
+        for x in table.column("sums"):
+            total = total + np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    blocks = map_arrow(rows.select("text"), contexts, "block int, sums binary").groupBy("block").applyInArrow(added, as_schema("block int, sums binary")).collect()
+    context = np.frombuffer(b"".join(r["sums"] for r in sorted(blocks, key=lambda r: r["block"])), np.int64).reshape(-1, WIDTH)
+    model = Model(vocabulary, word_vectors(index, context))
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"__key": b.column("__key"), "__label": b.column("__label"), "x": [model.pooled(t).tobytes() for t in texts(b)]}
+
+    kinds_of = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = map_arrow(rows, pooled, f"__key {kinds_of['__key']}, __label {kinds_of['__label']}, x binary").collect()
+    found.sort(key=lambda r: r["__key"])
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float64)
+    model.layers, model.temperature = train(x, np.array([r["__label"] for r in found], np.float64))
+    return model
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for each row."""
+    """(doc_id, score) for each row; a null or repeated key is carried as it is, other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -193,7 +280,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 
 def keep_good(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns, whose score is at least ``threshold``."""
+    """The rows of ``df``, all columns whatever their names, whose score is at least ``threshold``; rows are judged one by one, so repeated ones fare alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
