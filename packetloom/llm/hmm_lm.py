@@ -6,14 +6,15 @@ classes by their ending, and within a class a word has the add-one share of its
 
     P(text) = sum over state paths of prod P(state | state before) P(class | state) * prod P(word | class).
 
-Word counts come from all training texts. Baum-Welch runs on all of them as well: each partition adds up expected starts, transitions and
-emissions over segments of ``SEGMENT`` tokens, the sums meet by key, and only the model (of fixed size) comes to the driver. Segments
-after a text's first start from the mean occupancy of the states. Scoring is exact: the scaled forward recursion runs over
-whole texts, as products of the segments' transfer matrices.
+Word counts come from all training texts. Baum-Welch runs on all of them as well, over whole texts: each partition adds up expected starts, transitions and
+emissions, the sums meet by key, and only the model (of fixed size) comes to the driver. For both training and scoring, texts are worked on in segments of
+``SEGMENT`` tokens side by side; the segments' transfer matrices carry the exact forward and backward vectors over their borders, so
+the length of a segment changes nothing but time.
 
 Counts of the most frequent words (at most ``HOT`` of them) travel with the code; those of all other words are joined by word, so neither
-frequent words nor the size of the vocabulary falls on one task. Null texts are empty: one end token. Repeated rows are rows of
-their own; rows with null keys count as the key "". An empty table gives no rows.
+frequent words nor the size of the vocabulary falls on one task. Which words are classes of their own does not depend on ``HOT``. Null texts are empty: one
+end token. Texts of any length are whole. Repeated rows are rows of their own; rows with null keys count as the key "". An empty table gives no rows. Only
+the key and text columns are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +99,9 @@ def gather(vocabulary: DataFrame) -> Counts:
     if END not in hot:
         end = vocabulary.where(F.col("token") == F.lit(bytearray(END))).first()
         hot[END] = end["c"] if end else 0
-    own = {w: i for i, w in enumerate(sorted(hot, key=lambda w: (-hot[w], w))[:OWN])}
+    frequent = {bytes(r["token"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "token").limit(OWN).collect()}
+    hot |= frequent
+    own = {w: i for i, w in enumerate(frequent)}
     own.setdefault(END, len(own))
     ending = F.expr("substring(token, greatest(1, octet_length(token) - 1), 2)")
     inside = np.zeros((BUCKETS, 2))
@@ -114,7 +118,6 @@ def gather(vocabulary: DataFrame) -> Counts:
 @dataclass
 class Model:
     start: np.ndarray
-    later: np.ndarray  # of segments that continue a text
     move: np.ndarray
     emit: np.ndarray  # states x classes
 
@@ -123,17 +126,17 @@ class Model:
         r = np.random.default_rng(seed)
         emit = shares * r.uniform(0.5, 1.5, (STATES, len(shares)))
         move = r.uniform(0.5, 1.5, (STATES, STATES)) + np.eye(STATES)
-        return Model(np.full(STATES, 1 / STATES), np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        return Model(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     def flat_size(self) -> int:
-        return 2 * STATES + STATES * STATES + self.emit.size
+        return STATES + STATES * STATES + self.emit.size
 
     @staticmethod
     def from_counts(flat: np.ndarray, classes: int) -> Model:
         s = STATES
-        start, later, move, emit = flat[:s], flat[s : 2 * s], flat[2 * s : 2 * s + s * s].reshape(s, s), flat[2 * s + s * s :].reshape(s, classes)
+        start, move, emit = flat[:s], flat[s : s + s * s].reshape(s, s), flat[s + s * s :].reshape(s, classes)
         share = lambda x, least: (x + least) / (x + least).sum(-1, keepdims=True)
-        return Model(share(start, 0.1), share(later, 0.1), share(move, 0.1), share(emit, 0.01))
+        return Model(share(start, 0.1), share(move, 0.1), share(emit, 0.01))
 
 
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,14 +147,68 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.cumsum(lengths) - lengths)[text] + k * SEGMENT, np.minimum(SEGMENT, lengths[text] - k * SEGMENT), text
 
 
+def _transfers(model: Model, by_class: np.ndarray, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the matrix from the states before it (at its first token, where it opens a text) to those at its last token, scaled, and the
+    log10 of the scale."""
+    s = STATES
+    matrices, logs = np.empty((len(begin), s, s)), np.zeros(len(begin))
+    for at in range(0, len(begin), BATCH):
+        order = at + np.argsort(-size[at : at + BATCH], kind="stable")
+        b, n, f = begin[order], size[order], opens[order]
+        x = np.broadcast_to(np.eye(s), (len(order), s, s)).copy()
+        for t in range(int(n[0])):
+            m = int((n > t).sum())
+            y = (x[:m].reshape(-1, s) @ model.move).reshape(m, s, s)
+            if t == 0:
+                y[f[:m]] = np.eye(s)
+            y *= by_class[codes[b[:m] + t]][:, None, :]
+            if t % 16 == 15:
+                c = y.sum((1, 2))
+                y /= c[:, None, None]
+                logs[order[:m]] += np.log10(c)
+            x[:m] = y
+        matrices[order] = x
+    return matrices, logs
+
+
+def _ahead(model: Model, matrices: np.ndarray, text: np.ndarray, nth: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The states at each segment's last token given all up to there, and the sums that scale them; segments of a text follow one another."""
+    after, sums = np.empty((len(text), STATES)), np.empty(len(text))
+    state = np.empty((texts, STATES))
+    for here in _by_place(nth):
+        before = np.broadcast_to(model.start, (len(here), STATES)) if nth[here[0]] == 0 else state[text[here]]
+        v = np.einsum("ns,nst->nt", before, matrices[here])
+        sums[here] = v.sum(1)
+        after[here] = state[text[here]] = v / sums[here, None]
+    return after, sums
+
+
+def _by_place(nth: np.ndarray) -> Iterator[np.ndarray]:
+    """The first segments of all texts, their second ones, and so on."""
+    order = np.argsort(nth, kind="stable")
+    edges = np.flatnonzero(np.diff(nth[order], prepend=-1))
+    yield from np.split(order, edges[1:])
+
+
 def expected(model: Model, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Expected starts, occupancy, transitions and emissions of texts, one after another in ``codes``; flat."""
+    """Expected starts, transitions and emissions of whole texts, one after another in ``codes``; flat."""
     s, classes = STATES, model.emit.shape[1]
     begin, size, text = segments(lengths)
-    first = np.ones(len(text), bool)
-    first[1:] = text[1:] != text[:-1]
-    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, classes))
+    nth = np.arange(len(text)) - np.searchsorted(text, text, "left")
+    first, last = nth == 0, np.append(nth[1:] == 0, True)[: len(nth)]
     by_class = np.ascontiguousarray(model.emit.T)
+    # states at the borders, for texts of several segments: given all before, and the chance of all behind
+    before, behind = np.zeros((len(text), s)), np.ones((len(text), s))
+    many = np.flatnonzero(~(first & last))
+    if len(many):
+        matrices, _ = _transfers(model, by_class, codes, begin[many], size[many], first[many])
+        after, _ = _ahead(model, matrices, text[many], nth[many], len(lengths))
+        follow = np.flatnonzero(~first[many])
+        before[many[follow]] = after[follow - 1]
+        for here in list(_by_place(nth[many]))[:0:-1]:
+            v = np.einsum("nst,nt->ns", matrices[here], behind[many[here]])
+            behind[many[here] - 1] = v / v.sum(1, keepdims=True)
+    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, classes))
     for at in range(0, len(begin), BATCH):
         order = at + np.argsort(-size[at : at + BATCH], kind="stable")
         b, n, f = begin[order], size[order], first[order]
@@ -159,66 +216,38 @@ def expected(model: Model, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray
         forward, emitted, scale = [], [], []
         for t, m in enumerate(live):
             e = by_class[codes[b[:m] + t]]
-            a = (np.where(f[:, None], model.start, model.later) if t == 0 else forward[-1][:m] @ model.move) * e
+            a = (np.where(f[:, None], model.start, before[order] @ model.move) if t == 0 else forward[-1][:m] @ model.move) * e
             c = a.sum(1, keepdims=True)
             forward.append(a / c)
             emitted.append(e)
             scale.append(c)
-        back = np.ones((live[-1], s))
+        back = np.ones((0, s))
         for t in range(len(live) - 1, -1, -1):
             m = live[t]
-            if m > len(back):
-                back = np.concatenate([back, np.ones((m - len(back), s))])
+            if m > len(back):  # segments that end here
+                end = behind[order[len(back) : m]]
+                back = np.concatenate([back, end / (forward[t][len(back) : m] * end).sum(1, keepdims=True)])
             gamma = forward[t] * back
             seen = codes[b[:m] + t]
             for k in range(s):
                 emit[k] += np.bincount(seen, gamma[:, k], classes)
+            ahead = emitted[t] * back / scale[t]
             if t:
-                ahead = emitted[t] * back / scale[t]
                 move += model.move * (forward[t - 1][:m].T @ ahead)
                 back = ahead @ model.move.T
             else:
                 start += gamma[f].sum(0)
-    return np.concatenate([start, emit.sum(1), move.ravel(), emit.ravel()])
+                move += model.move * (before[order][~f].T @ ahead[~f])
+    return np.concatenate([start, move.ravel(), emit.ravel()])
 
 
 def log10_likelihood(model: Model, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 P(classes) of each text by the scaled forward recursion, exact over whole texts."""
-    s = STATES
     begin, size, text = segments(lengths)
-    first = np.ones(len(text), bool)
-    first[1:] = text[1:] != text[:-1]
-    matrices, logs = np.empty((len(begin), s, s)), np.zeros(len(begin))
-    by_class = np.ascontiguousarray(model.emit.T)
-    for at in range(0, len(begin), BATCH):
-        order = at + np.argsort(-size[at : at + BATCH], kind="stable")
-        b, n = begin[order], size[order]
-        # transfer from the states before a segment to those at its last token; a text's first token has no move before it
-        opens = first[order]
-        x = np.broadcast_to(np.eye(s), (len(order), s, s)).copy()
-        for t in range(int(n[0])):
-            m = int((n > t).sum())
-            y = (x[:m].reshape(-1, s) @ model.move).reshape(m, s, s)
-            if t == 0:
-                y[opens[:m]] = np.eye(s)
-            y *= by_class[codes[b[:m] + t]][:, None, :]
-            if t % 16 == 15:
-                c = y.sum((1, 2))
-                y /= c[:, None, None]
-                logs[order[:m]] += np.log10(c)
-            x[:m] = y
-        matrices[order] = x
-    out = np.zeros(len(lengths))
     nth = np.arange(len(text)) - np.searchsorted(text, text, "left")
-    state = np.empty((len(lengths), s))
-    for k in range(int(nth.max()) + 1 if len(nth) else 0):
-        here = np.flatnonzero(nth == k)
-        before = np.broadcast_to(model.start, (len(here), s)) if k == 0 else state[text[here]]
-        v = np.einsum("ns,nst->nt", before, matrices[here])
-        c = v.sum(1)
-        out[text[here]] += np.log10(c) + logs[here]
-        state[text[here]] = v / c[:, None]
-    return out
+    matrices, logs = _transfers(model, np.ascontiguousarray(model.emit.T), codes, begin, size, nth == 0)
+    _, sums = _ahead(model, matrices, text, nth, len(lengths))
+    return np.bincount(text, np.log10(sums) + logs, len(lengths))
 
 
 def code(texts: DataFrame, counts: Counts, train: Column) -> DataFrame:
@@ -234,30 +263,30 @@ def code(texts: DataFrame, counts: Counts, train: Column) -> DataFrame:
     joined = pa.array(words, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        table: dict[bytes, tuple[int, float, float]] = {}
+        table: dict[bytes, int] = {}
         for b in batches:
             if not table:
-                table.update(zip(joined.to_pylist(), zip(classes.tolist(), logs.tolist(), inside.tolist(), strict=True), strict=True))
-            out: dict[str, list] = {n: [] for n in ("codes", "n_tokens", "known", "base", "inside", "cold")}
-            for raw in raw_texts(b):
-                words = [*words_of(raw), END]
-                found = list(map(table.get, words))
-                cold: Counter[bytes] = Counter()
-                if None in found:
-                    for i, x in enumerate(found):
-                        if x is None:
-                            w = words[i]
-                            cold[w] += 1
-                            k = first_bucket + bucket_of(w)
-                            found[i] = (k, 0.0, -share[k - first_bucket])
-                rows = np.array(found)
-                out["codes"].append(rows[:, 0].astype("<u2").tobytes())
-                out["n_tokens"].append(len(words))
-                out["known"].append(len(words) - sum(cold.values()) - end_unseen)
-                out["base"].append(rows[:, 1].sum() - total * len(words))
-                out["inside"].append(rows[:, 2].sum())
-                out["cold"].append([{"token": w, "n": n} for w, n in cold.items()])
-            yield {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), **out}
+                table.update(zip(joined.to_pylist(), range(len(joined)), strict=True))
+            lists = [[*words_of(raw), END] for raw in raw_texts(b)]
+            n = np.array([len(x) for x in lists])
+            first = np.cumsum(n) - n
+            at = np.fromiter(map(table.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(n.sum()))
+            cold = np.flatnonzero(at < 0)
+            doc = np.searchsorted(first, cold, "right") - 1
+            k, log, own = classes[at], logs[at], inside[at]
+            rest: list[Counter[bytes]] = [Counter() for _ in lists]
+            log[cold] = 0.0
+            for i, d, f in zip(cold.tolist(), doc.tolist(), first[doc].tolist(), strict=True):
+                w = lists[d][i - f]
+                rest[d][w] += 1
+                k[i] = first_bucket + bucket_of(w)
+            own[cold] = -share[k[cold] - first_bucket]
+            codes, ends = k.astype("<u2").tobytes(), (np.cumsum(n) * 2).tolist()
+            yield {
+                "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "codes": [codes[x:y] for x, y in zip([0, *ends], ends, strict=False)], "n_tokens": n,
+                "known": n - np.bincount(doc, minlength=len(n)) - end_unseen, "base": np.add.reduceat(log, first) - total * n, "inside": np.add.reduceat(own, first),
+                "cold": [[{"token": w, "n": c} for w, c in x.items()] for x in rest],
+            }
 
     rows = texts.select("doc_id", (~train).alias("held_out"), "text")
     schema = "doc_id long, held_out boolean, codes binary, n_tokens long, known long, base double, inside double, cold array<struct<token:binary,n:long>>"
