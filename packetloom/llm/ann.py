@@ -5,10 +5,11 @@ two dimensions, each coded by one of 16 centres (four bits), and the half norm i
 ``|r|**2 + (eta - 1) * (r.u)**2`` with ``u`` the direction of ``x``: error along the vector, which moves high products most, costs ``eta`` times
 as much. Codes come by coordinate descent over the parts.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors chosen by a hash of their ids; every vector is coded. Queries go in blocks of about
-``QUERY_BLOCK`` against all rows: in each slice of rows, the tables choose ``RERANK`` candidates a query, whose distances are computed on the original
-vectors in double precision; the best of all slices are the result. Ties go to the smaller id at each step, so large groups of equal
-vectors are ranked right.
+The codebooks are fitted on at most ``SAMPLE`` vectors chosen by a hash of their ids; every vector is coded. The index is rows of packed groups of at most
+``GROUP`` vectors, made once, so what a query reads does not depend on how the scan is split. Queries go in blocks of about ``QUERY_BLOCK`` against all
+groups: in each, the tables choose ``RERANK`` candidates a query (a smaller group, the last of a task, gives a larger share of itself), whose distances
+are computed on the original vectors in double precision; the best of all groups are the result. Ties go to the smaller id at each step, so large groups of
+equal vectors are ranked right. Distances exist between vectors of one length only, so each length has an index of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SAMPLE = 20_000
 CENTRES, PART = 16, 2
 QUERY_BLOCK = 512
 RERANK = 100
-SLICE_ROWS = 8192
+GROUP = 2048
 
 
 class Quantizer:
@@ -126,30 +127,46 @@ def best_of(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([under, ties[np.argsort(ids[ties], kind="stable")[: k - len(under)]]])
 
 
-def build(df: DataFrame, scratch: Scratch, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> tuple[Quantizer | None, DataFrame]:
-    """The quantizer and the index (id, code, vector) of all usable vectors. Vectors whose length is not the commonest take no part."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    common = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
-        return None, rows.select("id", F.lit(None).cast("binary").alias("code"), "vector")
-    dim = common["dim"]
-    rows = rows.where(F.size("vector") == dim)
+def usable_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, vector) of the rows that take part."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    return rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
+
+
+def build(rows: DataFrame, dim: int, scratch: Scratch, sample: int = SAMPLE) -> tuple[Quantizer, DataFrame]:
+    """The quantizer and the index of vectors that all have ``dim`` components: groups of ids, codes and vectors, each packed into bytes."""
     some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
     tool = Quantizer(dim).fit(np.array([r["vector"] for r in some]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        ids, vectors, held = [], [], 0
+
+        def packed(last: bool) -> Iterator[dict]:
+            nonlocal ids, vectors, held
+            i, x = np.concatenate(ids), np.concatenate(vectors)
+            whole = held if last else held - held % GROUP
+            for at in range(0, whole, GROUP):
+                end = min(at + GROUP, whole)
+                yield {"ids": [i[at:end].tobytes()], "codes": [pack(tool.encode(x[at:end])).tobytes()], "vectors": [x[at:end].tobytes()]}
+            ids, vectors, held = [i[whole:]], [x[whole:]], held - whole
+
         for b in batches:
-            codes = pack(tool.encode(_matrix(b, dim)))
-            yield {"id": b.column("id"), "code": [c.tobytes() for c in codes], "vector": b.column("vector")}
+            ids.append(b.column("id").to_numpy())
+            vectors.append(_matrix(b, dim))
+            held += b.num_rows
+            if held >= GROUP:
+                yield from packed(False)
+        if held:
+            yield from packed(True)
 
-    return tool, scratch.keep(map_arrow(rows, run, "id long, code binary, vector array<double>"), "index")
+    return tool, scratch.keep(map_arrow(rows, run, "ids binary, codes binary, vectors binary"), "index")
 
 
 def _scan(index: DataFrame, tool: Quantizer, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """The k nearest of each partition for each query of a block."""
     tables = tool.tables(queries)
 
-    def slice_best(own: np.ndarray, codes: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def group_best(own: np.ndarray, codes: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         half = (vectors**2).sum(1).astype(np.float32) / 2
         for i, q in enumerate(queries):
             approx = half.copy()
@@ -164,10 +181,9 @@ def _scan(index: DataFrame, tool: Quantizer, ids: np.ndarray, queries: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         kept: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            for at in range(0, b.num_rows, SLICE_ROWS):
-                part = b.slice(at, SLICE_ROWS)
-                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                kept += slice_best(part.column("id").to_numpy(), codes, _matrix(part, tool.dim))
+            for own, codes, vectors in zip(*(b.column(n).to_pylist() for n in ("ids", "codes", "vectors")), strict=True):
+                of = np.frombuffer(own, np.int64)
+                kept += group_best(of, np.frombuffer(codes, np.uint8).reshape(len(of), -1), np.frombuffer(vectors, np.float64).reshape(len(of), -1))
                 if len(kept) > 16 * len(queries):
                     kept = merged(kept)
         if kept:
@@ -188,25 +204,31 @@ def _scan(index: DataFrame, tool: Quantizer, ids: np.ndarray, queries: np.ndarra
 def nearest(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each usable row that ``queries`` (a condition on ``id``) selects: its k nearest other rows, or all if they are fewer.
 
-    Columns query_id, rank (from 1), vec_id, score (Euclidean distance). Rows that share an id count as one query and are not its candidates.
-    Of equal (vec_id, score) rows each has a rank. A table without usable vectors gives no rows. Other columns are not read.
+    Columns query_id, rank (from 1), vec_id, score (Euclidean distance). Vectors that are null, zero, empty or hold null or non-finite components take
+    no part, nor do rows with a null id. Rows that share an id count as one query (of the smallest vector) and are not its candidates. Of equal
+    (vec_id, score) rows each has a rank. A query has candidates of its own length only. A table without usable vectors gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
-    tool, index = build(df, scratch, key, vector)
-    if tool is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = index.where(queries).groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = usable_rows(df, key, vector)
+    first = rows.where(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = scratch.keep(first, "queries")
     out = None
-    for i in range(blocks):
-        # about QUERY_BLOCK rows, whatever the number of queries
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
-        if not block:
+    for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
+        dim = r["dim"]
+        own = asked.where(F.size("vector") == dim)
+        blocks = -(-own.count() // QUERY_BLOCK)
+        if not blocks:
             continue
-        near = _scan(index, tool, np.array([r["id"] for r in block]), np.array([r["vector"] for r in block]), k)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        best = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        best = scratch.keep(best, "best") if blocks > 1 else best
-        out = best if out is None else out.unionByName(best)
+        tool, index = build(rows.where(F.size("vector") == dim), dim, scratch)
+        for i in range(blocks):
+            # about QUERY_BLOCK rows, whatever the number of queries
+            block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
+            if not block:
+                continue
+            near = _scan(index, tool, np.array([x["id"] for x in block]), np.array([x["vector"] for x in block]), k)
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+            best = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            best = scratch.keep(best, "best") if blocks > 1 else best
+            out = best if out is None else out.unionByName(best)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

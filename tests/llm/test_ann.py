@@ -35,3 +35,34 @@ def test_ties_and_unusable(spark):
     assert [v for _, v, _ in got[0]] == list(range(1, 11)) and [v for _, v, _ in got[100]] == list(range(10))
     assert run(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])]) == {0: [(1, 1, 2**0.5)]}
     assert run(spark, []) == {} and run(spark, [(0, None)]) == {}
+
+
+def plain(x, ids, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    order = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+    return [(n + 1, int(ids[i]), float(d[i])) for n, i in enumerate(order)]
+
+
+def test_everything_reranked_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RERANK", 10**9)
+    monkeypatch.setattr(ann, "GROUP", 33)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 7)).astype(np.float32)
+    x[100:140] = x[0]  # ties
+    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)], step=20)
+    want = {q: plain(x.astype(float), np.arange(400), q) for q in range(0, 400, 20)}
+    assert {q: [(a, b) for a, b, _ in f] for q, f in got.items()} == {q: [(a, b) for a, b, _ in f] for q, f in want.items()}
+    assert all(abs(a[2] - b[2]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_lengths_repeats_and_clashing_names(spark):
+    r = np.random.default_rng(6)
+    short, long = r.normal(size=(30, 3)), r.normal(size=(12, 5000))
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(short)] + [(1000 + i * 50, v.tolist()) for i, v in enumerate(long)] + [(None, [1.0, 2.0, 3.0]), (0, short[5].tolist()), (5, [])]
+    df = spark.createDataFrame([(i, v, "x", 1, b"c") for i, v in rows], "vec_id long, embedding array<double>, vector string, id int, codes binary")
+    got = ann.nearest(df, F.col("id") % 100 == 0).collect()
+    per = {}
+    for g in got:
+        per.setdefault(g.query_id, []).append(g.vec_id)
+    assert sorted(per) == [0, 100, 200, *range(1000, 1600, 100)]
+    assert all(len(v) == 10 for v in per.values()) and all(v >= 1000 for v in per[1000]) and 0 not in per[0] and max(per[0]) < 1000
