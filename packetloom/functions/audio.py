@@ -19,20 +19,22 @@ def mpeg_header(b: bytes) -> tuple[int, int] | None:
     if version == 1 or layer == 4 or not 0 < rate < 15 or sample == 3:
         return None
     bits, hz, pad = RATES[version == 3, layer][rate - 1] * 1000, SAMPLES[version][sample], b[2] >> 1 & 1
-    if layer == 1:
-        return 1, (12 * bits // hz + pad) * 4
-    return layer, (72 if layer == 3 and version != 3 else 144) * bits // hz + pad
+    n = (12 * bits // hz + pad) * 4 if layer == 1 else (72 if layer == 3 and version != 3 else 144) * bits // hz + pad
+    return (layer, n) if n >= 4 else None
 
 
 def adts_length(b: bytes) -> int | None:
-    if len(b) < 6 or b[0] != 0xFF or b[1] & 0xF6 != 0xF0:
+    """Frame bytes of an ADTS header: sync, layer 0, a sampling index that is not the forbidden 15, and room for the header (with checksum nine bytes)."""
+    if len(b) < 6 or b[0] != 0xFF or b[1] & 0xF6 != 0xF0 or b[2] >> 2 & 15 == 15:
         return None
     n = (b[3] & 3) << 11 | b[4] << 3 | b[5] >> 5
-    return n if n >= 7 else None
+    return n if n >= (7 if b[1] & 1 else 9) else None
 
 
 def latm_length(b: bytes) -> int | None:
-    return ((b[1] & 0x1F) << 8 | b[2]) + 3 if len(b) >= 3 and b[0] == 0x56 and b[1] & 0xE0 == 0xE0 else None
+    """Frame bytes of a LATM header; frames of less than seven are none."""
+    n = ((b[1] & 0x1F) << 8 | b[2]) + 3 if len(b) >= 3 and b[0] == 0x56 and b[1] & 0xE0 == 0xE0 else 0
+    return n if n >= 7 else None
 
 
 def frame_length(kind: str, b: bytes) -> int | None:

@@ -59,7 +59,9 @@ def decode(packets: DataFrame, keep_raw: bool = True) -> DataFrame:
     at = F.col("payload_offset")
     starts = F.col("pusi") & F.col("has_payload") & (at + 14 <= SIZE)
     df = df.withColumn("__pes", F.when(starts & (number(raw, at, 3) == 1), number(raw, at + 7, 1)))
-    stamps = F.shiftright("__pes", 6)
+    # a header that runs on into the next packet is read by detect.late_stamps
+    whole = at + 9 + number(raw, at + 8, 1) <= SIZE
+    stamps = F.when(whole, F.shiftright("__pes", 6))
     df = df.withColumns({
         "pcr_base": F.shiftright("__pcr", 15), "pcr_ext": F.col("__pcr").bitwiseAND(F.lit(0x1FF)).cast("int"),
         "stream_id": F.when(F.col("__pes").isNotNull(), number(raw, at + 3, 1)).cast("int"),

@@ -91,7 +91,7 @@ def _times(r) -> Iterator[tuple]:
 
 @dataclass
 class Catalog:
-    """Small tables; ``pat`` is (path, program_number, pmt_pid, packet_index)."""
+    """Small tables; ``pat`` is (path, program_number, pmt_pid, packet_index), ``identity`` (path, tsid, pat_version) of each file's last PAT."""
 
     pat: DataFrame
     programs: DataFrame
@@ -99,6 +99,7 @@ class Catalog:
     services: DataFrame
     times: DataFrame
     sections: DataFrame
+    identity: DataFrame
 
 
 def build(packets: DataFrame) -> Catalog:
@@ -111,6 +112,12 @@ def build(packets: DataFrame) -> Catalog:
         for number, pid in (psi.parse_pat(bytes(r.bytes)) or {"programs": {}})["programs"].items():
             yield r.path, number, pid, r.packet_index
 
+    def pat_identity(r) -> Iterator[tuple]:
+        if t := psi.parse_pat(bytes(r.bytes)):
+            yield r.path, t["tsid"], t["version"], r.packet_index
+
+    identity = pats.mapInPandas(_rows(pat_identity, "path, tsid, version, packet_index"), "path string, tsid int, version int, packet_index long")
+    identity = identity.groupBy("path").agg(F.max_by("tsid", "packet_index").alias("tsid"), F.max_by("version", "packet_index").alias("pat_version"))
     pat = pats.mapInPandas(_rows(pat_rows, "path, program_number, pmt_pid, packet_index"), "path string, program_number int, pmt_pid int, packet_index long")
     pat = pat.groupBy("path", "program_number", "pmt_pid").agg(F.min("packet_index").alias("packet_index")).persist()
     pmt_pids = [r["pmt_pid"] for r in pat.select("pmt_pid").distinct().collect()]
@@ -121,7 +128,7 @@ def build(packets: DataFrame) -> Catalog:
     services = every.where("pid = 17 and table_id = 66").mapInPandas(_rows(_services, SERVICES), SERVICES)
     return Catalog(
         pat, first(programs, programs.columns[:-1]), first(streams, streams.columns[:-1]), first(services, services.columns[:-1]),
-        every.where("pid = 20").mapInPandas(_rows(_times, TIMES), TIMES), every,
+        every.where("pid = 20").mapInPandas(_rows(_times, TIMES), TIMES), every, identity,
     )
 
 

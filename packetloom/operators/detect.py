@@ -47,7 +47,7 @@ def bad_headers(p: DataFrame) -> DataFrame:
 
 def sync_losses(losses: DataFrame) -> DataFrame:
     rows = losses.select("path", F.lit(None).cast("int").alias("pid"), F.lit(None).cast("long").alias("packet_index"), F.col("start").alias("file_offset"), "end")
-    return _events(rows, "Error", "SyncLoss", "SyncLoss", F.col("end") - F.col("file_offset"))
+    return _events(rows, "Error", "SyncLoss", "SyncRecovered", F.col("end") - F.col("file_offset"))
 
 
 def continuity_rows(p: DataFrame) -> DataFrame:
@@ -67,13 +67,21 @@ def continuity_rows(p: DataFrame) -> DataFrame:
 def continuity(rows: DataFrame) -> DataFrame:
     fault = F.col("fault")
     kind = F.when(fault == "Duplicate", "DuplicatePacket").when(fault == "Gap", "ContinuityGap").otherwise(fault)
-    return _events(rows.where("fault is not null"), F.when(fault == "Duplicate", "Warning").otherwise("Error"), kind, kind, F.pmod(F.col("last_cc") + 1, F.lit(16)), F.col("cc"), F.when(fault == "Gap", F.col("missing")))
+    gap = fault == "Gap"
+    first = F.when(gap, F.pmod(F.col("last_cc") + 1, F.lit(16))).otherwise(F.col("cc"))
+    return _events(rows.where("fault is not null"), F.when(fault == "Duplicate", "Warning").otherwise("Error"), kind, kind, first, F.when(gap, F.col("cc")), F.when(gap, F.col("missing")))
 
 
-def clock_rows(p: DataFrame, column: str) -> DataFrame:
-    """Rows with a clock value: ``t`` unwrapped within its segment and ``delta`` to the value before."""
+def repeats(rows: DataFrame) -> DataFrame:
+    """Packets that carry the counter of the one before: what stands in them counts no second time."""
+    return rows.where("fault in ('Duplicate', 'ConflictingDuplicate')").select("path", "pid", "packet_index")
+
+
+def clock_rows(p: DataFrame, column: str, without: DataFrame | None = None) -> DataFrame:
+    """Rows with a clock value: ``t`` unwrapped within its segment and ``delta`` to the value before. ``without``: packets whose values do not count."""
     p = seq.scan(p, KEYS, "packet_index", sums={"clock_segment": (F.col("discontinuity") & ~F.col("tei")).cast("long")})
     rows = p.where(F.col(column).isNotNull() & ~F.col("tei") & F.col("parse_error").isNull())
+    rows = rows if without is None else rows.join(without, [*KEYS, "packet_index"], "left_anti")
     keys = [*KEYS, "clock_segment"]
     rows = seq.unwrap(rows, keys, "packet_index", column, out="t")
     return seq.scan(rows, keys, "packet_index", lags={"last_t": F.col("t"), "last_packet": F.col("packet_index")}).withColumn("delta", F.col("t") - F.col("last_t"))
@@ -83,7 +91,7 @@ def pcr_checks(rows: DataFrame) -> DataFrame:
     d = F.col("delta")
     kind = F.when(d < -90, "PcrBackward").when(d > 10 * TICKS, "PcrJump").when(d > TICKS // 2, "PcrGap")
     rows = rows.withColumn("__kind", kind).where("__kind is not null")
-    return _events(rows, F.when(F.col("__kind") == "PcrGap", "Warning").otherwise("Error"), F.col("__kind"), None or F.col("__kind"), d / TICKS)
+    return _events(rows, F.when(F.col("__kind") == "PcrGap", "Warning").otherwise("Error"), F.col("__kind"), F.col("__kind"), F.when(d < 0, -d).otherwise(d) / TICKS)
 
 
 def declared(rows: DataFrame, c: Catalog) -> DataFrame:
@@ -105,38 +113,85 @@ def pts_checks(rows: DataFrame, c: Catalog) -> DataFrame:
     d = F.col("delta")
     kind = F.when(~is_video() & (d < -90), "PtsBackward").when(d > 10 * TICKS, "PtsJump").when(~is_video() & (d > 2 * TICKS), "StreamGap")
     rows = declared(rows, c).withColumn("__kind", kind).where("__kind is not null")
-    return _events(rows, F.when(F.col("__kind") == "StreamGap", "Warning").otherwise("Error"), F.col("__kind"), F.col("__kind"), d / TICKS)
+    gap = F.col("__kind") == "StreamGap"
+    return _events(rows, F.when(gap, "Warning").otherwise("Error"), F.col("__kind"), F.when(gap, "AudioGap").otherwise(F.col("__kind")), F.abs(d) / TICKS)
 
 
 def dts_checks(rows: DataFrame, c: Catalog) -> DataFrame:
     rows = declared(rows, c)
-    back = _events(rows.where("delta < -90"), "Error", "DtsBackward", "DtsBackward", F.col("delta") / TICKS)
+    back = _events(rows.where("delta < -90"), "Error", "DtsBackward", "DtsBackward", -F.col("delta") / TICKS)
     lead = F.pmod(F.col("dts") - F.col("pts"), F.lit(WRAP))
     after = rows.where((lead > 90) & (lead < WRAP // 2))
     return back.unionByName(_events(after, "Error", "DtsAfterPts", "DtsAfterPts", lead / TICKS))
 
 
-def pes_sizes(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
-    """Units whose bytes differ from the declared length. A unit is settled by the next start; damage inside voids it."""
+def _units(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
+    """Packets of declared streams with their PES ``unit``: ``__start``, what counts (``__taken``), what voids (``__broken``)."""
     fault = rows.select("path", "pid", "packet_index", "fault")
     all_ = declared(p, c).join(fault, ["path", "pid", "packet_index"], "left")
     sound = F.col("has_payload") & ~F.col("tei") & F.col("parse_error").isNull()
     taken = sound & ~F.coalesce(F.col("fault").isin("Duplicate", "ConflictingDuplicate"), F.lit(False))
-    starts = taken & F.col("pusi")
-    all_ = seq.scan(all_, KEYS, "packet_index", sums={"unit": starts.cast("long")})
     broken = F.col("tei") | F.col("parse_error").isNotNull() | F.col("discontinuity") | F.coalesce(F.col("fault").isin("ConflictingDuplicate", "Gap"), F.lit(False))
-    size = packet.SIZE - F.col("payload_offset")
-    code = F.when(starts, packet.number(F.col("raw"), F.col("payload_offset"), 3))
-    length = F.when(starts, packet.number(F.col("raw"), F.col("payload_offset") + 4, 2))
-    all_ = all_.withColumns({"__size": F.when(taken, size), "__start": starts, "__broken": broken, "__code": code, "__length": length})
+    all_ = all_.withColumns({"__taken": taken, "__start": taken & F.col("pusi"), "__broken": broken})
+    return seq.scan(all_, KEYS, "packet_index", sums={"unit": F.col("__start").cast("long")})
+
+
+def _placed(units: DataFrame, head: int) -> DataFrame:
+    """Adds where a packet's payload stands in its unit (``__from``, ``__upto``) and, as hex, its part of the unit's first ``head`` bytes."""
+    size = F.when(F.col("__taken"), packet.SIZE - F.col("payload_offset")).otherwise(0).cast("long")
+    rows = seq.scan(units, [*KEYS, "unit"], "packet_index", sums={"__upto": size}).withColumn("__from", F.col("__upto") - size)
+    part = F.substring("raw", F.col("payload_offset") + 1, F.greatest(F.lit(0), F.lit(head) - F.col("__from")).cast("int"))
+    return rows.withColumn("__part", F.when(F.col("__taken") & (F.col("__from") < head), F.hex(part)))
+
+
+def _joined(column: str = "__part") -> Column:
+    """Parts in order of their packets; at most as many as a unit's first bytes have."""
+    parts = F.collect_list(F.when(F.col(column).isNotNull(), F.struct("packet_index", column)))
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: x[column]), "")
+
+
+def pes_sizes(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
+    """Units whose bytes differ from the declared length: (bytes after the length field, declared ones, difference).
+
+    A unit is settled by the next start; damage inside voids it. The six bytes that declare the length may lie in several packets."""
+    all_ = _placed(_units(p, rows, c), 6)
     units = all_.groupBy("path", "pid", "unit").agg(
-        F.sum("__size").alias("got"), F.max(F.struct("__start", "__code", "__length", "packet_index", "file_offset")).alias("s"),
+        F.max("__upto").alias("got"), _joined().alias("head"), F.max(F.struct("__start", "packet_index", "file_offset")).alias("s"),
         F.max((F.col("__broken") & ~F.col("__start")).cast("int")).alias("killed"))
     seam = all_.where("__broken and __start").select("path", "pid", (F.col("unit") - 1).alias("unit")).distinct().withColumn("__seam", F.lit(1))
     last = units.groupBy("path", "pid").agg(F.max("unit").alias("__last"))
-    bad = units.join(F.broadcast(last), KEYS).join(seam, ["path", "pid", "unit"], "left").where("unit > 0 and unit < __last and killed = 0 and __seam is null and s.__code = 1 and s.__length > 0 and got <> s.__length + 6")
-    bad = bad.select("path", "pid", "s.packet_index", "s.file_offset", (F.col("s.__length") + 6).alias("want"), "got")
-    return _events(bad, "Error", "PesSizeMismatch", "PesSizeMismatch", F.col("want"), F.col("got"))
+    whole = units.join(F.broadcast(last), KEYS).join(seam, ["path", "pid", "unit"], "left").where("unit > 0 and unit < __last and killed = 0 and __seam is null and head like '000001______'")
+    bad = whole.select("path", "pid", "s.packet_index", "s.file_offset", F.conv(F.substring("head", 9, 4), 16, 10).cast("long").alias("want"), F.greatest(F.lit(0), F.col("got") - 6).alias("got"))
+    return _events(bad.where("want > 0 and got <> want"), "Error", "PesSizeMismatch", "PesSizeMismatch", F.col("got"), F.col("want"), F.col("got") - F.col("want"))
+
+
+#: The longest PES header that is put together from several packets.
+HEADER = 64
+
+
+def late_stamps(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
+    """(path, pid, packet_index, pts, dts) of PES headers that lie in several packets, at the packet that completes them; damage on the way voids one."""
+    room = packet.SIZE - F.col("payload_offset")
+    longer = F.col("__start") & ((room < 9) | (9 + packet.number(F.col("raw"), F.col("payload_offset") + 8, 1) > room))
+    units = seq.scan(_units(p, rows, c), KEYS, "packet_index", lasts={"__long": F.when(F.col("__start"), longer)}).where("__long and unit > 0")
+    all_ = _placed(units, HEADER).withColumn("__end", F.when(F.col("__part").isNotNull(), F.struct("packet_index", "__upto")))
+    heads = all_.where("__from < 64").groupBy("path", "pid", "unit").agg(
+        _joined().alias("head"), F.array_sort(F.collect_list("__end")).alias("ends"), F.min(F.when(F.col("__broken") & ~F.col("__start"), F.col("packet_index"))).alias("hurt"))
+    byte = lambda i: F.conv(F.substring("head", 2 * i + 1, 2), 16, 10).cast("int")
+    heads = heads.where("length(head) >= 18").withColumn("total", 9 + byte(8)).where(f"head like '000001%' and total <= {HEADER} and length(head) >= 2 * total")
+    heads = heads.withColumn("packet_index", F.filter("ends", lambda e: e["__upto"] >= F.col("total"))[0]["packet_index"]).where("hurt is null or hurt > packet_index")
+    number = lambda at: F.conv(F.substring("head", 2 * at + 1, 10), 16, 10).cast("long")
+    flags = F.shiftright(byte(7), 6)
+    return heads.select(
+        "path", "pid", "packet_index", F.when((flags >= 2) & (F.col("total") >= 14), packet.timestamp33(number(9))).alias("pts"),
+        F.when((flags == 3) & (F.col("total") >= 19), packet.timestamp33(number(14))).alias("dts")).where("pts is not null")
+
+
+def with_late_stamps(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
+    """Packets whose timestamps include those of headers that lie in several packets."""
+    late = late_stamps(p, rows, c).select("path", "pid", "packet_index", F.col("pts").alias("__pts"), F.col("dts").alias("__dts"))
+    out = p.join(late, [*KEYS, "packet_index"], "left")
+    return out.withColumns({"pts": F.coalesce("pts", "__pts"), "dts": F.coalesce("dts", "__dts")}).select(*p.columns)
 
 
 def repair_candidates(pcr: DataFrame) -> DataFrame:
@@ -164,10 +219,10 @@ def repair_candidates(pcr: DataFrame) -> DataFrame:
     return rows.groupBy("path", "pid").applyInPandas(fold, "path string, pid int, candidate boolean").where("candidate").select("path", "pid")
 
 
-def av_drift(p: DataFrame, c: Catalog) -> DataFrame:
+def av_drift(p: DataFrame, c: Catalog, without: DataFrame | None = None) -> DataFrame:
     """Audio that drifts from video: a fold over one sample a second, each with the last timestamps of the program's streams."""
     own = c.streams.select("path", "program_number", "pid", "stream_type", "supplement").distinct()
-    clocks = clock_rows(p, "pts").join(F.broadcast(own), KEYS).where(is_video() | is_audio())
+    clocks = clock_rows(p, "pts", without).join(F.broadcast(own), KEYS).where(is_video() | is_audio())
     marks = clocks.select("path", "program_number", "packet_index", "file_offset", F.when(is_video(), -1).otherwise(F.col("pid")).alias("track"), "t")
     pcr = clock_rows(p, "pcr_base").join(F.broadcast(c.programs.select("path", "program_number", F.col("pcr_pid").alias("pid")).distinct()), KEYS)
     rows = marks.unionByName(pcr.select("path", "program_number", "packet_index", "file_offset", F.lit(-2).alias("track"), "t"))
@@ -228,7 +283,9 @@ FEATURES = ("continuity", "clocks", "timestamps", "pes", "av_sync", "structure",
 def detect(p: DataFrame, c: Catalog, features: tuple[str, ...] = FEATURES, losses: DataFrame | None = None) -> DataFrame:
     """Events of the chosen detectors; plans of others are never built."""
     out = [transport_errors(p), bad_headers(p)]
-    rows = continuity_rows(p) if {"continuity", "pes"} & set(features) else None
+    rows = continuity_rows(p) if {"continuity", "pes", "timestamps", "av_sync"} & set(features) else None
+    again = repeats(rows) if "continuity" in features else None  # only a check of counters sees repeats
+    stamped = with_late_stamps(p, rows, c) if {"timestamps", "av_sync"} & set(features) else p
     if losses is not None:
         out.append(sync_losses(losses))
     if "continuity" in features:
@@ -236,11 +293,11 @@ def detect(p: DataFrame, c: Catalog, features: tuple[str, ...] = FEATURES, losse
     if "clocks" in features:
         out.append(pcr_checks(clock_rows(p, "pcr_base")))
     if "timestamps" in features:
-        out += [pts_checks(clock_rows(p, "pts"), c), dts_checks(clock_rows(p, "dts"), c)]
+        out += [pts_checks(clock_rows(stamped, "pts", again), c), dts_checks(clock_rows(stamped, "dts", again), c)]
     if "pes" in features:
         out.append(pes_sizes(p, rows, c))
     if "av_sync" in features:
-        out.append(av_drift(p, c))
+        out.append(av_drift(stamped, c, again))
     if "structure" in features:
         out.append(structure(p, c))
     if "psi" in features:

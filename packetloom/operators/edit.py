@@ -68,12 +68,18 @@ def _programs(c, path: str | None = None) -> tuple[list, list]:
     return sorted(latest, key=lambda r: r.program_number), sorted(streams, key=lambda r: (r.program_number, r.pid))
 
 
+def _pat(c, programs: dict[int, int]) -> bytes:
+    """A PAT under the source's stream id, its version one further, programs in order of number."""
+    own = c.identity.orderBy("path").first()
+    return psi.build_pat(own["tsid"] if own else 1, ((own["pat_version"] if own else 0) + 1) % 32, dict(sorted(programs.items())))
+
+
 def filter_streams(p: DataFrame, c, selected: set[int], service_information: bool = True) -> DataFrame:
     """Keeps the selected PIDs. PAT and PMTs are rebuilt for programs of which a stream or the PMT is selected; a clock carrier
     that is not selected keeps its clock alone. Plans are as large as the catalog, at most 8192 PIDs."""
     programs, streams = _programs(c)
     kept = [g for g in programs if g.pmt_pid in selected or any(s.pid in selected for s in streams if s.program_number == g.program_number)]
-    sections = {0: psi.build_pat(1, 1, {g.program_number: g.pmt_pid for g in kept})}
+    sections = {0: _pat(c, {g.program_number: g.pmt_pid for g in kept})}
     for g in kept:
         entries = [(s.stream_type_raw, s.pid, bytes(s.descriptors)) for s in streams if s.program_number == g.program_number and s.pid in selected]
         sections[g.pmt_pid] = psi.build_pmt(g.program_number, g.pmt_version + 1, g.pcr_pid, entries, bytes(g.descriptors))
@@ -109,7 +115,7 @@ def remap(p: DataFrame, c, pids: dict[int, int], services: dict[int, int] | None
     crypt = p.where(F.col("pid").isin(list(pids)) & F.col("has_payload") & ~F.col("tei") & (F.col("scrambling") >= 2))
     if not crypt.isEmpty():
         raise ValueError("a selected stream is scrambled")
-    sections = {0: psi.build_pat(1, 1, {number(g.program_number): g.pmt_pid for g in kept})}
+    sections = {0: _pat(c, {number(g.program_number): g.pmt_pid for g in kept})}
     for g in kept:
         entries = [(s.stream_type_raw, pids[s.pid], psi.with_language(bytes(s.descriptors), languages[s.pid]) if s.pid in languages else bytes(s.descriptors)) for s in streams if s.program_number == g.program_number and s.pid in pids]
         sections[g.pmt_pid] = psi.build_pmt(number(g.program_number), g.pmt_version + 1, pids.get(g.pcr_pid, g.pcr_pid), entries, bytes(g.descriptors))
@@ -235,7 +241,7 @@ def overlap(a: DataFrame, b: DataFrame, least: int = 32) -> int:
     probe = own.join(F.broadcast(head), "h").groupBy("j").agg(F.count(F.lit(1)).alias("places")).orderBy("places", "j").first()
     # every overlap long enough holds the first packets of b, so it holds a probe among the first ``least``
     early = own.join(F.broadcast(head.where(F.col("j") < least)), "h").groupBy("j").agg(F.count(F.lit(1)).alias("places"))
-    if probe is None or early.count() < min(least, 1):
+    if probe is None or early.isEmpty():
         return 0
     best = early.orderBy("places", "j").first()
     shifts = own.join(F.broadcast(head.where(F.col("j") == best["j"])), "h").select((F.col("i") - F.col("j")).alias("shift")).where(f"shift >= 0 and {n} - shift >= {least}").distinct()

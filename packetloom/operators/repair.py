@@ -126,19 +126,22 @@ def insertions(chosen: DataFrame, donor: DataFrame) -> DataFrame:
 
 
 def track_mapping(reference: DataFrame, donor: DataFrame) -> DataFrame:
-    """Donor tracks of each reference track: same type and supplement, languages equal or missing; ranked by program, PID, number.
+    """Donor tracks of each reference track: same type and supplement, languages equal but for case or missing (blank).
 
-    Catalog rows (path, program_number, pid, stream_type, supplement, language). ``ambiguous`` if a track has several partners either way."""
-    a = reference.select("pid", "program_number", "stream_type", "supplement", "language").distinct()
-    b = donor.select(F.col("path").alias("donor_path"), F.col("pid").alias("donor_pid"), F.col("program_number").alias("dp"), F.col("stream_type").alias("dt"), F.col("supplement").alias("ds"), F.col("language").alias("dl")).distinct()
+    Catalog rows (path, program_number, pid, stream_type, supplement, language). Where one candidate has the track's own PID and program, it alone
+    counts; else all stay, for fingerprints to tell, ranked by program, PID, number. ``ambiguous`` if a track has several partners either way."""
+    from pyspark.sql import Window
+
+    spoken = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    a = reference.select("pid", "program_number", "stream_type", "supplement", spoken("language").alias("language")).distinct()
+    b = donor.select(F.col("path").alias("donor_path"), F.col("pid").alias("donor_pid"), F.col("program_number").alias("dp"), F.col("stream_type").alias("dt"), F.col("supplement").alias("ds"), spoken("language").alias("dl")).distinct()
     m = a.join(F.broadcast(b), (F.col("stream_type") == F.col("dt")) & F.col("supplement").eqNullSafe(F.col("ds")) & (F.col("language").isNull() | F.col("dl").isNull() | (F.col("language") == F.col("dl"))))
-    same = m.where("pid = donor_pid").groupBy("donor_path", "pid").agg(F.count(F.lit(1)).alias("__same"))
-    m = m.join(same, ["donor_path", "pid"], "left").where("__same is null or __same <> 1 or pid = donor_pid")
-    best = seq.best(m, ["donor_path", "pid"], [F.col("program_number") != F.col("dp"), F.col("pid") != F.col("donor_pid"), F.col("donor_pid")], ["donor_pid"])
-    back = m.groupBy("donor_path", "donor_pid").agg(F.countDistinct("pid").alias("__back"))
-    forth = m.groupBy("donor_path", "pid").agg(F.countDistinct("donor_pid").alias("__forth"))
-    out = best.join(back, ["donor_path", "donor_pid"]).join(forth, ["donor_path", "pid"])
-    return out.select("pid", "donor_path", "donor_pid", ((F.col("__back") > 1) | (F.col("__forth") > 1)).alias("ambiguous"))
+    direct = (F.col("pid") == F.col("donor_pid")) & (F.col("program_number") == F.col("dp"))
+    of = Window.partitionBy("donor_path", "pid")
+    m = m.withColumn("__direct", direct).withColumn("__one", F.sum(direct.cast("int")).over(of) == 1).where("not __one or __direct")
+    order = [F.col("program_number") != F.col("dp"), F.col("pid") != F.col("donor_pid"), F.col("donor_pid"), F.col("dp")]
+    m = m.withColumns({"rank": F.row_number().over(of.orderBy(*order)), "__forth": F.count(F.lit(1)).over(of), "__back": F.count(F.lit(1)).over(Window.partitionBy("donor_path", "donor_pid"))})
+    return m.select("pid", "donor_path", "donor_pid", "rank", ((F.col("__back") > 1) | (F.col("__forth") > 1)).alias("ambiguous"))
 
 
 def time_offset(reference: DataFrame, donor: DataFrame, least: int = 3) -> DataFrame:

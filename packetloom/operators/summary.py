@@ -117,13 +117,23 @@ def timeline(packets: DataFrame, pcr: DataFrame, c: Catalog, width_s: float = 1.
         F.sum("packet_count").alias("total_packets"), F.min("segment").alias("segment"), F.array_sort(F.collect_list(F.struct("pid", "packet_count"))).alias("pids"))
 
 
-def event_times(events: DataFrame, packets: DataFrame) -> DataFrame:
-    """Seconds of events: from the last clock at or before them (their own PID's, else any), relative to the first clock of the file."""
-    clocks = packets.where("(pcr_base is not null or pts is not null) and not tei").select("path", "pid", "packet_index", F.coalesce("pcr_base", "pts").alias("clock"))
-    origin = clocks.groupBy("path").agg(F.min_by("clock", "packet_index").alias("origin"))
-    e = seq.asof(events.where("packet_index is not null"), clocks.groupBy("path", "packet_index").agg(F.min("clock").alias("clock")), ["path"], "packet_index", "clock", "__any")
-    e = e.join(F.broadcast(origin), "path", "left")
-    return e.withColumn("time_s", F.greatest(F.lit(0.0), (F.col("__any") - F.col("origin")) / 90_000.0)).withColumn("source_time_s", F.col("time_s") + F.col("origin") / 90_000.0).drop("__any", "origin")
+def event_times(events: DataFrame, pcr: DataFrame, pts: DataFrame, c: Catalog) -> DataFrame:
+    """Seconds of packet events, relative to the first clock of the file: by the last value of the program's PCR at or before them, else of any PCR,
+    else of the PID's own PTS. ``pcr`` and ``pts``: :func:`detect.clock_rows`. Events without any clock before them have none."""
+    sample = lambda df: df.select("path", "pid", "packet_index", "t")
+    both = sample(pcr).unionByName(sample(pts))
+    origin = both.groupBy("path").agg(F.min_by("t", "packet_index").alias("origin"))
+    number = c.programs.groupBy("path", "program_number").agg(F.max_by("pcr_pid", "packet_index").alias("clock_pid"))
+    owner = c.streams.select("path", "program_number", "pid").unionByName(c.pat.select("path", "program_number", F.col("pmt_pid").alias("pid")))
+    owner = owner.unionByName(number.select("path", "program_number", F.col("clock_pid").alias("pid"))).groupBy("path", "pid").agg(F.min("program_number").alias("program_number"))
+    owner = owner.join(number, ["path", "program_number"]).select("path", "pid", "clock_pid")  # at most 8192 rows a file
+    e = events.where("packet_index is not null").join(F.broadcast(owner), ["path", "pid"], "left")
+    e = seq.asof(e, sample(pcr).withColumnRenamed("pid", "clock_pid"), ["path", "clock_pid"], "packet_index", "t", "__own")
+    e = seq.asof(e, sample(pcr).groupBy("path", "packet_index").agg(F.max_by("t", "pid").alias("t")), ["path"], "packet_index", "t", "__any")
+    e = seq.asof(e, sample(pts), ["path", "pid"], "packet_index", "t", "__pts")
+    e = e.join(F.broadcast(origin), "path", "left").withColumn("__t", F.coalesce("__own", "__any", "__pts"))
+    e = e.withColumns({"time_s": F.greatest(F.lit(0.0), (F.col("__t") - F.col("origin")) / 90_000.0), "source_time_s": F.col("__t") / 90_000.0})
+    return e.withColumn("time_s", F.when(F.col("__t").isNotNull(), F.col("time_s"))).drop("__own", "__any", "__pts", "__t", "origin", "clock_pid")
 
 
 def report(summary: DataFrame, merged: DataFrame, c: Catalog, buckets: DataFrame | None = None, events: int = STORED_EVENTS) -> str:

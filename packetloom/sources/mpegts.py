@@ -4,8 +4,10 @@ Options of the reader: ``on_sync_loss`` (``resync`` finds the next four sync byt
 ``max_bytes`` (prefix of each file), ``split_packets``, ``table`` (``packets``, or ``losses`` for the byte ranges that resync lost). Bounds on ``packet_index``
 are pushed into the split plan. Paths without a scheme are local; others open through pyarrow's file systems.
 
-A packet belongs to the split in which it begins, so splits need nothing of one another. ``packet_index`` is the packet's place on the grid of
-188 bytes from the file's first sync; after a loss :func:`reindex` numbers packets by their order instead.
+A packet or loss belongs to the split in which it begins, and what is read does not depend on the splits: a split that starts inside a file walks up to its
+start from a little before it, from every phase at once, and goes further back until all walks end at one place, as the one from the file's first sync
+must then as well. ``packet_index`` is the packet's place on the grid of 188 bytes from the file's first sync; after a loss :func:`reindex`
+numbers packets by their order instead.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -66,38 +69,61 @@ class Split(InputPartition):
     size: int
 
 
-def parsed(split: Split, on_loss: str) -> Iterator[tuple[str, int, bytes | int]]:
-    """("packet", offset, bytes) and ("loss", start, end) of one split."""
+def entry(file, split: Split, back: int = 64) -> int:
+    """Where the scan from the file's first sync goes on at or after the split's start."""
+    while split.start > split.sync:
+        low = max(split.sync, split.start - back * SIZE)
+        data = np.frombuffer(file.read_at(min(split.size, split.start + 4 * SIZE) - low, low), np.uint8)
+        sync = data == SYNC
+        four = np.flatnonzero(sync[: len(sync) - 3 * SIZE] & sync[SIZE : len(sync) - 2 * SIZE] & sync[2 * SIZE : len(sync) - SIZE] & sync[3 * SIZE :]) if len(sync) > 3 * SIZE else np.empty(0, np.int64)
+        beyond = len(data) + SIZE  # no resync so far
+        after = np.append(four, beyond)
+        goal = split.start - low
+        walks = np.zeros(1, np.int64) if low == split.sync else np.arange(SIZE)
+        while len(walks) and walks[0] < goal:
+            go = walks < goal
+            at = walks[go]
+            walks = np.unique(np.concatenate([np.where(sync[at], at + SIZE, after[np.searchsorted(four, at)]), walks[~go]]))
+        if len(walks) == 1:
+            if walks[0] < beyond:
+                return low + int(walks[0])
+            found = _next_sync(file, split.start, split.size)
+            return split.size if found < 0 else found
+        back *= 8
+    return split.start
+
+
+def parsed(split: Split, on_loss: str) -> Iterator[tuple[str, int, np.ndarray | int]]:
+    """("packets", offset of the first, rows of bytes), with ("offsets", 0, their offsets) before it where they do not follow one another, and ("loss", start, end)."""
     system, inner = open_fs(split.path)
     with system.open_input_file(inner) as file:
-        at = split.start
-        if on_loss == "resync" and at > split.sync:
-            head = file.read_at(min(SIZE * 4, split.size - at), at)
-            if find_sync(head) != 0 and len(head) >= SIZE * 3 + 1:
-                found = _next_sync(file, at, split.size)
-                at = split.size if found < 0 else found
+        at = entry(file, split) if on_loss == "resync" else split.start
         while at < split.end and at + SIZE <= split.size:
-            data = file.read_at(min(READ_PACKETS * SIZE, split.size - at), at)
-            whole = len(data) // SIZE
+            whole = min(READ_PACKETS, -(-(split.end - at) // SIZE), (split.size - at) // SIZE)
+            rows = np.frombuffer(file.read_at(whole * SIZE, at), np.uint8)
+            whole = len(rows) // SIZE
             if not whole:
                 return
-            lost = False
-            for k in range(whole):
-                o = at + k * SIZE
-                if o >= split.end:
-                    return
-                raw = data[k * SIZE : (k + 1) * SIZE]
-                if raw[0] == SYNC:
-                    yield "packet", o, raw
-                elif on_loss == "fail":
-                    raise ValueError(f"sync lost at byte {o} of {split.path}")
-                elif on_loss == "resync":
-                    found = _next_sync(file, o + 1, split.size)
-                    yield "loss", o, split.size if found < 0 else found
-                    at, lost = split.size if found < 0 else found, True
-                    break
-            if not lost:
-                at += whole * SIZE
+            rows = rows[: whole * SIZE].reshape(whole, SIZE)
+            good = rows[:, 0] == SYNC
+            if good.all():
+                yield "packets", at, rows
+            elif on_loss == "skip":
+                yield "offsets", 0, at + np.flatnonzero(good) * SIZE
+                yield "packets", at, rows[good]
+            else:
+                n = int(good.argmin())
+                if n:
+                    yield "packets", at, rows[:n]
+                at += n * SIZE
+                if on_loss == "fail":
+                    raise ValueError(f"sync lost at byte {at} of {split.path}")
+                found = _next_sync(file, at, split.size)
+                end = split.size if found < 0 else found
+                yield "loss", at, end
+                at = end
+                continue
+            at += whole * SIZE
 
 
 def _next_sync(file, at: int, size: int) -> int:
@@ -121,7 +147,7 @@ class PacketReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
         for f in filters:
             name, value = getattr(f, "attribute", None), getattr(f, "value", None)
-            if name == ("packet_index",) and isinstance(value, int) and self.options.get("on_sync_loss", "resync") != "resync":
+            if name == ("packet_index",) and isinstance(value, int):
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
                     self.low = max(self.low, value + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
@@ -150,23 +176,22 @@ class PacketReader(DataSourceReader):
         if not partition.path:
             return
         losses = self.options.get("table") == "losses"
-        rows: list[tuple[int, bytes | int]] = []
+        offsets = None
         for kind, at, x in parsed(partition, self.options.get("on_sync_loss", "resync")):
-            if (kind == "loss") == losses:
-                rows.append((at, x))
-            if len(rows) == READ_PACKETS:
-                yield self._batch(partition, rows, losses)
-                rows = []
-        if rows:
-            yield self._batch(partition, rows, losses)
-
-    def _batch(self, p: Split, rows: list, losses: bool) -> pa.RecordBatch:
-        at = [a for a, _ in rows]
-        path = pa.array([p.path] * len(rows))
-        if losses:
-            return pa.RecordBatch.from_arrays([path, pa.array(at, pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["path", "start", "end"])
-        index = pa.array([(a - p.sync) // SIZE for a in at], pa.int64())
-        return pa.RecordBatch.from_arrays([path, index, pa.array(at, pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["path", "packet_index", "file_offset", "raw"])
+            if kind == "loss":
+                if losses:
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([at], pa.int64()), pa.array([x], pa.int64())], ["path", "start", "end"])
+            elif kind == "offsets":
+                offsets = x
+            elif not losses:
+                yield self._batch(partition, at + np.arange(len(x)) * SIZE if offsets is None else offsets, x)
+                offsets = None
+
+    def _batch(self, p: Split, at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        n = len(rows)
+        path = pa.array([p.path]).take(pa.array(np.zeros(n, np.int64)))
+        raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SIZE).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+        return pa.RecordBatch.from_arrays([path, pa.array((at - p.sync) // SIZE, pa.int64()), pa.array(at, pa.int64()), raw], ["path", "packet_index", "file_offset", "raw"])
 
 
 @dataclass
@@ -259,6 +284,8 @@ def write(df: DataFrame, path: str, order: str | list[str] = "packet_index", par
     order = [order] if isinstance(order, str) else order
     spark = df.sparkSession
     register(spark)
+    if "://" not in path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster the target must name a file system that driver and executors share")
     system, inner = open_fs(path)
     if not overwrite and system.get_file_info(inner).type != fs.FileType.NotFound:
         raise FileExistsError(path)

@@ -116,4 +116,8 @@ def test_large_gaps_and_tracks(spark):
     cols = "path string, program_number int, pid int, stream_type int, supplement string, language string"
     a = spark.createDataFrame([("a", 1, 1, 27, None, None), ("a", 1, 2, 15, None, "eng")], cols)
     b = spark.createDataFrame([("b", 1, 9, 27, None, None), ("b", 1, 2, 15, None, "eng"), ("b", 1, 3, 15, None, "fra"), ("b", 1, 4, 15, None, None)], cols)
-    assert sorted((r.pid, r.donor_pid, r.ambiguous) for r in repair.track_mapping(a, b).collect()) == [(1, 9, False), (2, 2, False)]
+    assert sorted((r.pid, r.donor_pid, r.rank, r.ambiguous) for r in repair.track_mapping(a, b).collect()) == [(1, 9, 1, False), (2, 2, 1, False)]
+    # another program: no direct match, so all stay in order; case and blanks of languages do not count
+    a = spark.createDataFrame([("a", 1, 2, 15, None, "ENG"), ("a", 1, 5, 15, None, "deu")], cols)
+    b = spark.createDataFrame([("b", 7, 2, 15, None, "eng"), ("b", 1, 8, 15, None, " "), ("b", 7, 3, 15, None, "fra")], cols)
+    assert sorted((r.pid, r.rank, r.donor_pid, r.ambiguous) for r in repair.track_mapping(a, b).collect()) == [(2, 1, 8, True), (2, 2, 2, True), (5, 1, 8, True)]

@@ -1,7 +1,12 @@
+import random
+import tempfile
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from packetloom.functions import psi, synth
-from packetloom.operators import detect
+from packetloom.operators import detect, edit, summary
 from packetloom.plans import quick_check
 from packetloom.sources import mpegts
 
@@ -125,3 +130,121 @@ def test_files_splits_loss_and_writer(spark, tmp_path):
 
 def test_features():
     assert set(FEW) < set(detect.FEATURES)
+
+
+def args(check, kind):
+    return [(r.packet_index, r.code, r.arg1, r.arg2, r.arg3) for r in check.events.where(f"type = '{kind}'").orderBy("packet_index").collect()]
+
+
+def test_arguments_of_events(spark):
+    raws = head() + [synth.packet(0x100, c) for c in (0, 1, 1, 4)] + [synth.packet(0x100, 4, fill=1)]
+    raws += [synth.packet(0x100, 5 + i, pcr=t) for i, t in enumerate((900_000, 450_000, 1_800_000, 1_890_000))]
+    c = quick_check.check_packets(table(spark, raws), ("continuity", "clocks"))
+    assert args(c, "DuplicatePacket") == [(4, "DuplicatePacket", 1, None, None)] and args(c, "ConflictingDuplicate") == [(6, "ConflictingDuplicate", 4, None, None)]
+    assert args(c, "ContinuityGap") == [(5, "ContinuityGap", 2, 4, 2)]
+    assert args(c, "PcrBackward") == [(8, "PcrBackward", 5, None, None)] and args(c, "PcrJump") == [(9, "PcrJump", 15, None, None)] and args(c, "PcrGap") == [(10, "PcrGap", 1, None, None)]
+    raws = head() + [synth.packet(0x101, i, synth.pes(0xC0, p, dts=d), pusi=True) for i, (p, d) in enumerate(((900_000, 900_000), (450_000, 450_000), (720_000, 810_000)))]
+    c = quick_check.check_packets(table(spark, raws), ("timestamps",))
+    assert args(c, "PtsBackward") == [(3, "PtsBackward", 5, None, None)] and args(c, "DtsBackward") == [(3, "DtsBackward", 5, None, None)]
+    assert args(c, "StreamGap") == [(4, "AudioGap", 3, None, None)] and args(c, "DtsAfterPts") == [(4, "DtsAfterPts", 1, None, None)]
+
+
+def test_repeated_packets_are_not_judged_twice(spark):
+    one = synth.packet(0x101, 0, synth.pes(0xC0, 900_000), pusi=True)
+    other = synth.packet(0x101, 0, synth.pes(0xC0, 90_000), pusi=True)
+    raws = [*head(), one, other, synth.packet(0x101, 1, synth.pes(0xC0, 903_000), pusi=True)]
+    c = quick_check.check_packets(table(spark, raws), ("continuity", "timestamps"))
+    assert kinds(c) == {"ConflictingDuplicate": 1}
+    # without the check of counters nobody tells a repeat
+    assert kinds(quick_check.check_packets(table(spark, raws), ("timestamps",))) == {"PtsBackward": 1, "StreamGap": 1}
+
+
+def cut(data, first):
+    return [data[:first], *[data[i : i + 184] for i in range(first, len(data), 184)]]
+
+
+def test_headers_over_several_packets(spark):
+    raws, cc, at = head(), 0, []
+    for k, first in enumerate((184, 3, 5, 9, 12, 100)):
+        body = bytes(range(200))
+        data = synth.pes(0xC0, 90_000 * (k + 1), body, dts=90_000 * (k + 1), length=len(body) + 13 + (k == 2))
+        for i, part in enumerate(cut(data, first)):
+            at += [len(raws)] if i == (0 if first >= 19 else 1) else []
+            raws.append(synth.packet(0x101, cc, part, pusi=i == 0))
+            cc += 1
+    c = quick_check.check_packets(table(spark, raws), ("continuity", "pes", "timestamps"))
+    assert [x[2:] for x in args(c, "PesSizeMismatch")] == [(213, 214, -1)] and kinds(c) == {"PesSizeMismatch": 1}
+    p = detect.with_late_stamps(c.packets, detect.continuity_rows(c.packets), c.catalog)
+    got = [(r.packet_index, r.pts, r.dts) for r in p.where("pts is not null").orderBy("packet_index").collect()]
+    assert got == [(i, 90_000 * (k + 1), 90_000 * (k + 1)) for k, i in enumerate(at)]
+    raws[at[2]] = synth.packet(0x101, 3, b"", tei=True, afc=1)
+    c = quick_check.check_packets(table(spark, raws), ("pes", "timestamps"))
+    assert detect.late_stamps(c.packets, detect.continuity_rows(c.packets), c.catalog).count() == 3
+
+
+def test_event_times(spark):
+    raws = head() + [synth.packet(0x100, 0, pcr=900_000), synth.packet(0x55, 0, pcr=90_000), synth.packet(0x101, 0, synth.pes(0xC0, 1_800_000), pusi=True)]
+    raws += [synth.packet(0x101, 1, tei=True), synth.packet(0x77, 0, tei=True), synth.packet(0x100, 1, pcr=990_000), synth.packet(0x101, 5, tei=True)]
+    raws = [synth.packet(0x101, 0, tei=True), *raws]
+    c = quick_check.check_packets(table(spark, raws), ("continuity",))
+    e = summary.event_times(c.events, c.pcr, detect.clock_rows(c.packets, "pts"), c.catalog)
+    got = {r.packet_index: (r.time_s, r.source_time_s) for r in e.where("type = 'TransportError'").collect()}
+    # before any clock; the program's clock; the last clock of any; the program's again
+    assert got == {0: (None, None), 6: (0.0, 10.0), 7: (0.0, 1.0), 9: (1.0, 11.0)}
+
+
+def test_pat_keeps_its_identity(spark):
+    raws = psi.packetize(psi.build_pat(0x4D2, 31, {1: 0x1000}), 0, 0) + head()[1:] + [synth.packet(0x100, i) for i in range(3)]
+    c = quick_check.check_packets(table(spark, raws), ())
+    out = edit.filter_streams(c.packets, c.catalog, {0x100}).orderBy("packet_index", "sub_index").collect()
+    pat = psi.parse_pat(psi.Assembler().push(bytes(out[0].raw)[4:], True)[0])
+    assert (pat["tsid"], pat["version"], pat["programs"]) == (0x4D2, 0, {1: 0x1000})
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.data())
+def test_splits_change_nothing(data):
+    """Whatever is damaged, inserted or lost, any splits read what one scan reads."""
+    r = random.Random(data.draw(st.integers(0, 10**9)))
+    body = bytearray()
+    for _ in range(r.randrange(5, 60)):
+        body += b"\x47" + bytes(r.choice((0x55, 0x47, 0, 255)) for _ in range(187))
+    for _ in range(r.randrange(4)):
+        j, kind = r.randrange(len(body)), r.randrange(3)
+        if kind == 0:
+            body[j // 188 * 188] = 0
+        elif kind == 1:
+            del body[j : j + r.randrange(1, 400)]
+        else:
+            body[j:j] = bytes(r.choice((0x47, 3)) for _ in range(r.randrange(1, 500)))
+    raw = bytes(r.randrange(100) for _ in range(r.randrange(200))) + bytes(body)
+    sync = mpegts.find_sync(raw)
+    if sync < 0:
+        return
+    at, packets, lost = sync, [], []
+    while at + 188 <= len(raw):
+        if raw[at] == 0x47:
+            packets.append((at, raw[at : at + 188]))
+            at += 188
+        else:
+            found = mpegts.find_sync(raw[at:])
+            lost.append((at, len(raw) if found < 0 else at + found))
+            at = lost[-1][1]
+    with tempfile.NamedTemporaryFile(suffix=".ts") as file:
+        file.write(raw)
+        file.flush()
+        for step in (1, 2, 10, 1000):
+            reader = mpegts.PacketReader({"path": file.name, "split_packets": str(step)})
+            rows = [x for p in reader.partitions() for b in reader.read(p) for x in zip(b.column("file_offset").to_pylist(), b.column("raw").to_pylist(), strict=True)]
+            holes = mpegts.PacketReader({"path": file.name, "split_packets": str(step), "table": "losses"})
+            assert rows == packets
+            assert [x for p in holes.partitions() for b in holes.read(p) for x in zip(b.column("start").to_pylist(), b.column("end").to_pylist(), strict=True)] == lost
+
+
+def test_bounds_are_pushed_whatever_is_lost(spark, tmp_path):
+    raws = [synth.packet(0x100, i) for i in range(1000)]
+    path = f"{tmp_path}/x.ts"
+    open(path, "wb").write(b"".join(raws[:400]) + b"\0" * 77 + b"".join(raws[400:]))
+    every = {r.packet_index: bytes(r.raw) for r in mpegts.read(spark, path).collect()}
+    some = mpegts.read(spark, path, split_packets=7).where("packet_index between 395 and 410")
+    assert {r.packet_index: bytes(r.raw) for r in some.collect()} == {i: x for i, x in every.items() if 395 <= i <= 410}
