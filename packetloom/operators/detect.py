@@ -165,6 +165,16 @@ def pes_sizes(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
     return _events(bad.where("want > 0 and got <> want"), "Error", "PesSizeMismatch", "PesSizeMismatch", F.col("got"), F.col("want"), F.col("got") - F.col("want"))
 
 
+def remaining_bytes(p: DataFrame, rows: DataFrame, c: Catalog) -> DataFrame:
+    """(path, pid, packet_index, remaining): what the unit's declared length leaves after each packet; null where none is declared or damage came before."""
+    all_ = _placed(_units(p, rows, c), 6)
+    head = all_.groupBy("path", "pid", "unit").agg(_joined().alias("head")).where("head like '000001______' and unit > 0")
+    head = head.select("path", "pid", "unit", F.conv(F.substring("head", 9, 4), 16, 10).cast("long").alias("want"))
+    all_ = seq.scan(all_, [*KEYS, "unit"], "packet_index", sums={"__hurt": (F.col("__broken") & ~F.col("__start")).cast("long")})
+    left = F.when((F.col("want") > 0) & (F.col("__hurt") == 0), F.col("want") + 6 - F.col("__upto"))
+    return all_.where("__taken").join(head, ["path", "pid", "unit"], "left").select("path", "pid", "packet_index", left.alias("remaining"))
+
+
 #: The longest PES header that is put together from several packets.
 HEADER = 64
 

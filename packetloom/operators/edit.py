@@ -181,14 +181,20 @@ def merge_clips(p: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     shifts = p.sparkSession.createDataFrame(moves, "seg int, move long")
     rows = rows.join(F.broadcast(shifts), "seg", "left").na.fill(0, ["move"])
     rows = shift_timestamps(rows, "move", "move")
-    counted = F.col("has_payload") & ~F.col("tei")
-    ends = rows.where(counted).groupBy("pid", "seg").agg(F.min_by("cc", "packet_index").alias("first"), F.max_by("cc", "packet_index").alias("last"))
-    w = Window.partitionBy("pid").orderBy("seg")
+    return joined_counters(rows.withColumn("sub_index", F.lit(0)).select("path", "pid", "seg", "packet_index", "sub_index", "has_payload", "tei", "cc", "header", "raw"))
+
+
+def joined_counters(rows: DataFrame) -> DataFrame:
+    """(packet_index, sub_index, raw) of packets in segments (``seg``, in order): each PID's counters move by one offset per segment, so that seams join what was
+    written before them and gaps inside a segment stay."""
+    counted, at = F.col("has_payload") & ~F.col("tei"), F.struct("packet_index", "sub_index")
+    ends = rows.where(counted).groupBy("path", "pid", "seg").agg(F.min_by("cc", at).alias("first"), F.max_by("cc", at).alias("last"))
+    w = Window.partitionBy("path", "pid").orderBy("seg")
     ends = ends.withColumn("__seam", F.coalesce(F.lag("last").over(w) + 1 - F.col("first"), F.lit(0)))
-    ends = ends.withColumn("__off", F.sum("__seam").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("pid", "seg", "__off")
-    rows = rows.join(F.broadcast(ends), ["pid", "seg"], "left")
+    ends = ends.withColumn("__off", F.sum("__seam").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("path", "pid", "seg", "__off")
+    rows = rows.join(F.broadcast(ends), ["path", "pid", "seg"], "left")  # a row for each PID and segment
     cc = F.pmod(F.col("cc") + F.coalesce("__off", F.lit(0)), F.lit(16))
-    return _plain(rows.withColumn("raw", with_header(F.col("raw"), renumbered(F.col("header"), cc=cc))))
+    return rows.select("packet_index", "sub_index", with_header(F.col("raw"), renumbered(F.col("header"), cc=cc)).alias("raw"))
 
 
 def extract_elementary(p: DataFrame, faults: DataFrame, pids: list[int]) -> DataFrame:

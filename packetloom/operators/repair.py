@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.operators import seq
@@ -65,11 +65,26 @@ def corrections(p: DataFrame, segments: DataFrame, c) -> DataFrame:
     carriers = c.programs.select("path", F.col("pcr_pid").alias("pid"), "program_number").distinct()
     own = carriers.join(c.streams.select("path", "program_number", F.col("pid").alias("stream")).distinct(), ["path", "program_number"]).select("path", "pid", "stream")
     reach = own.unionByName(segments.select("path", "pid", F.col("pid").alias("stream"))).distinct()
-    plan = segments.join(reach, ["path", "pid"]).select("path", F.col("stream").alias("pid"), (F.col("pid") == F.col("stream")).alias("__own"), "kind", "start_packet", "end_packet", "error")
-    rows = p.join(F.broadcast(plan), ["path", "pid"], "left").where("start_packet is null or packet_index >= start_packet and (end_packet is null or packet_index < end_packet)")
-    share = F.when(F.col("kind") == "GradualPcrDrift", (F.col("packet_index") - F.col("start_packet")) / (F.col("end_packet") - F.col("start_packet"))).otherwise(F.lit(1.0))
-    moved = rows.groupBy("path", "packet_index").agg(F.round(F.sum(-F.col("error") * share)).cast("long").alias("move"))
-    return p.join(moved, ["path", "packet_index"], "left").na.fill(0, ["move"]).withColumns({"clock": F.col("move"), "stamps": F.col("move")}).drop("move")
+    plan = segments.join(reach, ["path", "pid"]).groupBy("path", F.col("stream").alias("pid")).agg(F.collect_list(F.struct("kind", "start_packet", "end_packet", "error")).alias("__plan"))
+    rows = p.join(F.broadcast(plan), ["path", "pid"], "left").withColumn("clock", _move(F.col("__plan")))  # a row for each stream
+    return rows.withColumn("stamps", F.col("clock")).drop("__plan")
+
+
+def _move(plan) -> Column:
+    """The ticks that a list of segments moves what stands at ``packet_index`` by."""
+    def add(total: Column, s: Column) -> Column:
+        here = (F.col("packet_index") >= s["start_packet"]) & (s["end_packet"].isNull() | (F.col("packet_index") < s["end_packet"]))
+        share = F.when(s["kind"] == "GradualPcrDrift", (F.col("packet_index") - s["start_packet"]) / (s["end_packet"] - s["start_packet"])).otherwise(F.lit(1.0))
+        return total + F.when(here, -s["error"] * share).otherwise(F.lit(0.0))
+
+    return F.coalesce(F.round(F.aggregate(plan, F.lit(0.0), add)).cast("long"), F.lit(0).cast("long"))
+
+
+def normalised(rows: DataFrame, segments: DataFrame, *columns: str) -> DataFrame:
+    """Rows (path, packet_index) of gaps, units, samples or anchors whose times in ``columns`` are those of the corrected timeline of their file's clock."""
+    plan = segments.groupBy("path").agg(F.collect_list(F.struct("kind", "start_packet", "end_packet", "error")).alias("__plan"))
+    rows = rows.join(F.broadcast(plan), "path", "left").withColumn("__move", _move(F.col("__plan")))
+    return rows.withColumns({c: F.col(c) + F.col("__move") for c in columns}).drop("__plan", "__move")
 
 
 def _payloads(faults: DataFrame) -> DataFrame:

@@ -78,12 +78,11 @@ def bitrate(packets: DataFrame, pcr: DataFrame, c: Catalog) -> DataFrame:
     return counts.join(F.broadcast(rate), "path").select("path", "pid", "total_bitrate", (F.col("total_bitrate") * share).alias("bitrate"))
 
 
-def timeline(packets: DataFrame, pcr: DataFrame, c: Catalog, width_s: float = 1.0, most: int = 4096) -> DataFrame:
-    """Packets per bucket and PID: those of each clock interval spread over the buckets that it overlaps, in proportion.
+def clock_spans(pcr: DataFrame, c: Catalog) -> DataFrame:
+    """(path, a, b, at, seconds, segment): the intervals between the clocks of each file's first program, laid end to end from 0 on.
 
-    Abnormal intervals (backwards or over ten seconds) take the running estimate of seconds per packet and open a new segment. More
-    than ``most`` buckets merge pairwise, so widths double. The clock samples of one PID per file are folded in one task; packets are not.
-    """
+    Abnormal intervals (backwards or over ten seconds) take the running estimate of seconds per packet and open a new segment. The clock samples of one PID
+    per file are folded in one task; packets are not."""
     ref = c.programs.groupBy("path").agg(F.min_by("pcr_pid", F.struct("packet_index", "program_number")).alias("pid"))
     samples = pcr.join(F.broadcast(ref), ["path", "pid"]).select("path", "packet_index", "t", "clock_segment")
 
@@ -102,7 +101,30 @@ def timeline(packets: DataFrame, pcr: DataFrame, c: Catalog, width_s: float = 1.
             last = r
         return pd.DataFrame(out, columns=["path", "a", "b", "at", "seconds", "segment"])
 
-    spans = samples.groupBy("path").applyInPandas(fold, "path string, a long, b long, at double, seconds double, segment int").where("seconds > 0")
+    return samples.groupBy("path").applyInPandas(fold, "path string, a long, b long, at double, seconds double, segment int")
+
+
+def display_times(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows (path, packet_index) with ``display_s``, their place on the timeline: the interval's start plus the packets since, at its rate; after the last clock at
+    the last interval's rate, before the first none."""
+    rate = F.col("seconds") / (F.col("b") - F.col("a"))
+    marks = spans.select("path", F.col("a").alias("packet_index"), F.struct("at", rate.alias("rate"), F.col("a").alias("a")).alias("s"))
+    return seq.asof(rows, marks, ["path"], "packet_index", "s", "__s").withColumn("display_s", F.col("__s.at") + (F.col("packet_index") - F.col("__s.a")) * F.col("__s.rate")).drop("__s")
+
+
+def bitrate_at(times: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows (path, time_s) with the bucket that holds them and its rate; buckets of a file are equally wide, so an equi-join finds them."""
+    width = buckets.groupBy("path").agg(F.max("duration_s").alias("__w"))
+    rows = times.join(F.broadcast(width), "path", "left").withColumn("__b", F.floor(F.col("time_s") / F.col("__w")))
+    b = buckets.select("path", F.floor(F.col("start_s") / F.col("duration_s")).alias("__b"), "start_s", "duration_s", (F.col("total_packets") * 1504 / F.col("duration_s")).alias("bucket_bitrate"))
+    return rows.join(b, ["path", "__b"], "left").drop("__b", "__w")
+
+
+def timeline(packets: DataFrame, pcr: DataFrame, c: Catalog, width_s: float = 1.0, most: int = 4096) -> DataFrame:
+    """Packets per bucket and PID: those of each clock interval spread over the buckets that it overlaps, in proportion.
+
+    More than ``most`` buckets merge pairwise, so widths double."""
+    spans = clock_spans(pcr, c).where("seconds > 0")
     marks = spans.select("path", F.col("a").alias("packet_index"), F.struct("a", "b", "at", "seconds", "segment").alias("span"))
     rows = seq.asof(packets.select("path", "pid", "packet_index"), marks, ["path"], "packet_index", "span", "s").where("s is not null and packet_index < s.b")
     per = rows.groupBy("path", "s", "pid").agg(F.count(F.lit(1)).alias("n"))
@@ -110,7 +132,7 @@ def timeline(packets: DataFrame, pcr: DataFrame, c: Catalog, width_s: float = 1.
     power = F.greatest(F.lit(0), F.ceil(F.log2(F.ceil(F.col("__end") / width_s) / float(most))))
     per = per.join(F.broadcast(end), "path").withColumn("width", width_s * F.pow(F.lit(2.0), power))
     lo, hi = F.col("s.at"), F.col("s.at") + F.col("s.seconds")
-    per = per.withColumn("bucket", F.explode(F.sequence(F.floor(lo / F.col("width")), F.greatest(F.floor(lo / F.col("width")), F.ceil(hi / F.col("width")) - 1))))
+    per = per.withColumn("bucket", F.explode(F.sequence(F.floor(lo / F.col("width")), F.greatest(F.floor(lo / F.col("width")), F.ceil(hi / F.col("width") - 1e-9) - 1))))
     lap = F.least(hi, (F.col("bucket") + 1) * F.col("width")) - F.greatest(lo, F.col("bucket") * F.col("width"))
     part = per.groupBy("path", "bucket", "width", "pid").agg(F.sum(F.col("n") * lap / F.col("s.seconds")).alias("packet_count"), F.min("s.segment").alias("segment"))
     return part.groupBy("path", (F.col("bucket") * F.col("width")).alias("start_s"), F.col("width").alias("duration_s")).agg(
