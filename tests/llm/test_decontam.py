@@ -76,7 +76,7 @@ def test_hard_texts_take_time_in_proportion():
         start = time.process_time()
         text = filler * (1_000_000 // len(filler)) + items[7][1] + filler * 1000
         hits = dc.search([text], tool)[0]
-        assert [h[0] for h in hits] == [7] and time.process_time() - start < 5, filler
+        assert [h[0] for h in hits] == [7] and time.process_time() - start < 20, filler
 
 
 def test_tables(spark, monkeypatch):
