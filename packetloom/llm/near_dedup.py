@@ -6,7 +6,7 @@ for all elements of a text at once and stop when all slots are filled, which the
 
 Texts with equal shingle sets become one node first, so exact copies cost no pairs. A node shares a bucket with another if all rows of
 a band agree; 24 bands of 4 rows miss a pair at similarity 0.8 with a probability of 3e-6. In each bucket, every member is verified
-on whole sets against the hub of its salt, and those hubs against the bucket's, so no bucket meets in one task. Members that are not connected
+on whole sets against one hub; hubs reach the members by salts, so no bucket meets in one task. Members that are not connected
 after that are met with the rest of their bucket in blocks, by sizes and one byte of each signature slot first (a pair at 0.8 falls short of the
 agreement asked for with a probability of 5e-7). Blocks that leave few pairs give these to verification; texts travel to the other blocks and are
 verified there. So no candidate goes unchecked, a group of copies costs a number of verifications in proportion to its size, and
@@ -244,8 +244,8 @@ def _groups(df: DataFrame, key: str, text: str, words: int, percent: int) -> tup
     local = deal.groupBy("band", "bucket", "salt").agg(F.min("fp").alias("near"), F.count(F.lit(1)).alias("n"))
     hubs = local.groupBy("band", "bucket").agg(F.min("near").alias("hub"), F.sum("n").alias("members")).where("members > 1")
     # at most SALTS rows of a bucket meet here, and its members join by salt
-    local = scratch.keep(local.join(hubs, ["band", "bucket"]).select("band", "bucket", "salt", "near", "hub"), "hubs")
-    mates = scratch.keep(deal.join(local, ["band", "bucket", "salt"]).select("fp", "band", "bucket", "near", "hub"), "mates")
+    local = scratch.keep(local.join(hubs, ["band", "bucket"]).select("band", "bucket", "salt", "hub"), "hubs")
+    mates = scratch.keep(deal.join(local, ["band", "bucket", "salt"]).select("fp", "band", "bucket", "hub"), "mates")
 
     # texts of the nodes that share a bucket with another; nothing else is read again
     chosen = nodes.join(mates.select("fp").distinct(), "fp", "left_semi")
@@ -257,31 +257,37 @@ def _groups(df: DataFrame, key: str, text: str, words: int, percent: int) -> tup
         pairs = pairs.join(held.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
         return _verified(pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a"), words, percent)
 
-    to_local = mates.where("fp <> near").select(F.col("near").alias("a"), F.col("fp").alias("b"))
-    to_hub = mates.where("fp = near and near <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    edges = scratch.keep(verified(to_local.unionByName(to_hub).distinct()), "edges")
+    edges = scratch.keep(verified(mates.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()), "edges")
     labels = components(edges, scratch)
 
-    # buckets whose members belong to different components hold pairs that were not compared
-    rest = mates.join(labels, mates.fp == labels.node, "left").select("fp", "band", "bucket", F.coalesce("comp", "fp").alias("comp"))
+    # buckets in which members other than the hub belong to different components hold pairs that were not compared
+    rest = mates.where("fp <> hub").join(labels, mates.fp == labels.node, "left").select("fp", "band", "bucket", F.coalesce("comp", "fp").alias("comp"))
     rest = scratch.keep(rest, "rest")
     per = rest.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = per.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    open_ = scratch.keep(open_.where("comps > 1 and all > 2"), "open")  # two members were compared, as one of them is the hub
-    members = rest.join(open_, ["band", "bucket"]).join(nodes.select("fp", "keys", "sketch", "n"), "fp")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    shaped = members.select(
-        "fp", "comp", "keys", "sketch", "n", "band", "bucket", (F.col("comp") != F.col("major")).alias("minor"), blocks("all").alias("nj"),
-        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.abs(F.hash("fp")).alias("h"))
-    few = shaped.where("minor").select("*", F.lit(True).alias("few"), F.expr("h % ni").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"))
-    many = shaped.select("*", F.lit(False).alias("few"), F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("cast((h div 7) % nj as int)").alias("j"))
-    cell, cols = ["band", "bucket", "i", "j"], ["few", "fp", "comp", "keys", "sketch", "n"]
-    cells = few.select(*cell, *cols).unionByName(many.select(*cell, *cols))
-    left = scratch.keep(cells.groupBy(*cell).applyInArrow(_block_pairs(percent), as_schema("band int, bucket long, i int, j int, a binary, b binary")), "left")
+    open_ = scratch.keep(open_.where("comps > 1"), "open")
+    members = rest.join(open_, ["band", "bucket"])
+    cell = ["band", "bucket", "i", "j"]
+
+    def dealt(rows: DataFrame, *cols: str) -> DataFrame:
+        """Members in the blocks of their buckets: those of minor components against all."""
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        shaped = rows.select(
+            "fp", "comp", *cols, "band", "bucket", (F.col("comp") != F.col("major")).alias("minor"), blocks("all").alias("nj"),
+            F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ni"), F.abs(F.hash("fp")).alias("h"))
+        few = shaped.where("minor").select("*", F.lit(True).alias("few"), F.expr("h % ni").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"))
+        many = shaped.select("*", F.lit(False).alias("few"), F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("cast((h div 7) % nj as int)").alias("j"))
+        names = [*cell, "few", "fp", "comp", *cols]
+        return few.select(names).unionByName(many.select(names))
+
+    light = dealt(members.join(nodes.select("fp", "keys", "sketch", "n"), "fp"), "keys", "sketch", "n")
+    left = scratch.keep(light.groupBy(*cell).applyInArrow(_block_pairs(percent), as_schema("band int, bucket long, i int, j int, a binary, b binary")), "left")
     more = verified(left.where("a is not null").select("a", "b").distinct())
     dense = left.where("a is null").select(*cell)
     if not dense.isEmpty():
-        crowded = cells.join(dense, cell, "left_semi").join(held, "fp")
+        # texts join members, not their copies in the blocks
+        crowded = members.join(dense.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi").join(held.join(nodes.select("fp", "keys"), "fp"), "fp")
+        crowded = dealt(crowded, "keys", "text").join(dense, cell, "left_semi")
         more = more.unionByName(crowded.groupBy(*cell).applyInArrow(_block_links(words, percent), as_schema("a binary, b binary")))
     more = scratch.keep(more, "more")
     if not more.isEmpty():
