@@ -63,10 +63,10 @@ def scan(
     return joined.withColumns(final).select(*df.columns, *local)
 
 
-def unwrap(df: DataFrame, keys: Sequence[str], order: str, raw: str, bits: int = 33, out: str = "unwrapped") -> DataFrame:
-    """Clock values of ``bits`` bits made continuous: only jumps of more than half the range are wraps. Rows without a value are dropped."""
+def unwrap(df: DataFrame, keys: Sequence[str], order: str, raw: str, bits: int = 33, out: str = "unwrapped", empty: bool = False) -> DataFrame:
+    """Clock values of ``bits`` bits made continuous: only jumps of more than half the range are wraps. Rows without a value are dropped, or stay if ``empty``."""
     span, half = 1 << bits, 1 << (bits - 1)
-    rows = scan(df.where(F.col(raw).isNotNull()), keys, order, lags={"__was": F.col(raw)})
+    rows = scan(df, keys, order, before={"__was": F.col(raw)}) if empty else scan(df.where(F.col(raw).isNotNull()), keys, order, lags={"__was": F.col(raw)})
     turn = F.when(F.col("__was") - F.col(raw) > half, span).when(F.col(raw) - F.col("__was") > half, -span).otherwise(0).cast("long")
     rows = scan(rows.withColumn("__turn", turn), keys, order, sums={"__turns": F.col("__turn")})
     return rows.withColumn(out, F.col(raw) + F.col("__turns")).drop("__was", "__turn", "__turns")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions import packet, psi
-from packetloom.operators import catalog, detect, edit, navigate, repair, summary
+from packetloom.operators import catalog, detect, edit, navigate, repair, seq, summary
 from packetloom.plans import relational
 from packetloom.plans.oracles import EV
 from packetloom.session import scratch_root
@@ -132,8 +132,9 @@ def eng_filter(spark, d):
 @query
 def eng_remap(spark, d):
     p, c = _read(spark, d)
-    out = packet.decode(edit.remap(p, c, {256: 1000, 260: 1001}))
-    return out.where("pid >= 256 and pid <> 4096").groupBy("pid").agg(F.count(F.lit(1)).alias("packets"), F.sum("cc").alias("counters"), F.sum("pcr_base").alias("clocks"))
+    out = packet.decode(edit.remap(p, c, {256: 1000, 260: 1001})).where("pid >= 256 and pid <> 4096")
+    out = seq.unwrap(out.select("pid", "cc", "packet_index", "pcr_base"), ["pid"], "packet_index", "pcr_base", out="clock", empty=True)
+    return out.groupBy("pid").agg(F.count(F.lit(1)).alias("packets"), F.sum("cc").alias("counters"), F.sum("clock").alias("clocks"))
 
 
 @query
