@@ -6,8 +6,6 @@ The stream: a PAT, a PMT (program 1, clock on PID 256, H.264 on it and AAC on 25
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from packetloom.functions import packet, psi
 from packetloom.operators import catalog, detect, edit, navigate, repair, seq, summary
 from packetloom.plans import relational
 from packetloom.plans.oracles import EV
-from packetloom.session import scratch_root
+from packetloom.session import shared_folder
 from packetloom.sources import mpegts
 
 QUERIES: dict[str, relational.Query] = {}
@@ -168,9 +166,7 @@ def eng_large_gaps(spark, d):
 
 def _file(spark, d) -> str:
     """The stream as a file in the shared folder, removed when the driver ends: one packet in 1000 without its sync byte, one a byte short."""
-    path = f"{scratch_root(spark)}/packetloom-stream-{uuid.uuid4().hex[:12]}.ts"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    path = f"{shared_folder(spark, 'stream')}/events.ts"
     k = F.pmod("packet_index", F.lit(1000))
     raw = F.when(k == 500, F.concat(F.lit(bytearray(1)), F.substring("raw", 2, 187))).when(k == 900, F.substring("raw", 1, 187)).otherwise(F.col("raw"))
     mpegts.write(stream(spark, d).withColumn("raw", raw), path)
@@ -179,8 +175,10 @@ def _file(spark, d) -> str:
 
 @query
 def eng_file_packets(spark, d):
-    p = packet.decode(mpegts.read(spark, _file(spark, d), split_packets=777))
-    return p.select("file_offset", "pid", "cc", "tei", "pcr_base", "pts")
+    p = packet.decode(mpegts.read(spark, _file(spark, d), split_packets=777)).select("file_offset", "pid", "cc", "tei", "pcr_base", "pts")
+    p = seq.unwrap(p, ["pid"], "file_offset", "pcr_base", out="clock", empty=True)
+    p = seq.unwrap(p, ["pid"], "file_offset", "pts", out="stamp", empty=True)
+    return p.select("file_offset", "pid", "cc", "tei", F.col("clock").alias("pcr_base"), F.col("stamp").alias("pts"))
 
 
 @query

@@ -31,6 +31,16 @@ def scratch_root(spark: SparkSession) -> str:
     return cached
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, by a name that programs outside Spark open too: it has a scheme, and mounts are followed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/packetloom-{label}-{uuid.uuid4().hex[:12]}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    uri = fs.resolvePath(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 class Scratch:
     """Names tables in the shared folder; each is removed at the latest when the driver ends."""
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom import session
 from packetloom.operators import seq
 from packetloom.plans import engine_queries
 
@@ -19,7 +20,7 @@ def write(spark, folder, rows):
 def by_sql(folder, name, columns):
     with duckdb.connect() as con:
         con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
-        return con.execute(f"select {', '.join(columns)} from ({engine_queries.ORACLES[name]})").fetchall()
+        return con.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({engine_queries.ORACLES[name]})").fetchall()
 
 
 @pytest.mark.parametrize("name", ["eng_remap"])
@@ -34,3 +35,15 @@ def test_unwrap_keeps_rows_without_a_value(spark):
     true = [None, 5, None, 2**32, 2**33 - 1, None, 2**33 + 7, 2**33 + 9]
     df = spark.createDataFrame([(1, i, None if x is None else x % 2**33) for i, x in enumerate(true)], "k int, i long, raw long")
     assert [x.t for x in seq.unwrap(df, ["k"], "i", "raw", out="t", empty=True).orderBy(F.col("i")).collect()] == true
+
+
+@pytest.mark.parametrize("form", ["file:{}", "file://{}", "{}", "viewfs://mounted/shared"])
+def test_shared_folder_in_any_form(spark, tmp_path, monkeypatch, form):
+    (tmp_path / "shared").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.mounted.link./shared", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(session, "scratch_root", lambda _: form.format(tmp_path / "shared"))
+    monkeypatch.setattr(engine_queries, "scratch_root", session.scratch_root, raising=False)
+    folder = write(spark, tmp_path / "e", [(i, i * 7, ["click", "purchase", "signup", "error"][i % 4]) for i in range(1200)])
+    for name in ("eng_file_packets", "eng_file_losses"):
+        got = engine_queries.QUERIES[name](spark, folder)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, by_sql(folder, name, got.columns)))
