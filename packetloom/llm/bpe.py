@@ -4,7 +4,7 @@ Each partition's texts are split by the tokenizer's pattern into words. A word t
 token of the vocabulary could reach across, which no merge does either, and the pieces that a Python worker does not know yet go to an
 in-process DuckDB as rows (piece, position, token). A recursive query joins neighbours to the table of mergeable pairs and contracts each piece's
 leftmost pair of the smallest rank, round by round, until none is left. Ordered aggregation gives the pieces' ids and, joined to the
-vocabulary, the bytes they decode to. A text's ids and decoded bytes are its pieces' in order.
+vocabulary, the bytes they decode to. A text's ids and decoded bytes are its pieces' in order; the decoded bytes come from the ids alone.
 
 The same rule holds for words of every length. A round contracts later places of the smallest rank too, as far as no contraction before them makes a pair
 of a still smaller rank, so long runs end in few rounds. Rows of all rounds stay with a recursive query, so one goes on for as many
@@ -17,6 +17,7 @@ rows. Only the key and text columns are read, whatever other columns there are;
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import duckdb
@@ -63,7 +64,7 @@ with recursive t(i, w, p, q, tok, nxt, r) as (
 )
 select t.w, t.p, t.q, t.tok, t.nxt, t.i = $rounds as open from t join (select w, max(i) as i from t group by w) l on l.w = t.w and l.i = t.i
 """
-_COLLECT = "select list(w order by p) as w, list(tok order by p) as ids, string_agg(v.hex, '' order by p) as decoded from done join vocabulary v on v.id = done.tok"
+_COLLECT = "select list(w order by p) as w, list(tok order by p) as ids, list(v.len order by p) as len, string_agg(v.hex, '' order by p) as decoded from done join vocabulary v on v.id = done.tok"
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -101,7 +102,8 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         for name, columns in tables.items():
             self._load(name, columns)
-        self.known: dict[bytes, bytes] = {}
+        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.held = 0
 
     def _load(self, name: str, columns: dict) -> None:
@@ -109,8 +111,8 @@ class Codec:
         self.db.execute(f"create or replace table {name} as select * from source")
         self.db.unregister("source")
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces that are not empty, contracted and decoded by queries."""
+    def _ids(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of pieces that are not empty, and the bytes that these decode to, contracted and decoded by queries."""
         lengths = np.array([len(x) for x in pieces])
         starts = np.cumsum(lengths) - lengths
         tok = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -127,11 +129,11 @@ class Codec:
             self._run("create or replace table live as select w, p, q, tok, nxt from reached where open")
             rows = self._run("select count(*) from live")[0][0]
         found = self.db.sql(_COLLECT).to_arrow_table()
-        if bytes.fromhex(found.column("decoded")[0].as_py()) != b"".join(pieces):
-            raise ValueError("ids do not decode to the bytes that they come from")
-        of, ids = (found.column(n).combine_chunks().values.to_numpy() for n in ("w", "ids"))
-        flat, at = ids.astype("<u4").tobytes(), (np.searchsorted(of, np.arange(len(pieces) + 1)) * 4).tolist()
-        return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        of, ids, size = (found.column(n).combine_chunks().values.to_numpy() for n in ("w", "ids", "len"))
+        flat, decoded = ids.astype("<u4").tobytes(), bytes.fromhex(found.column("decoded")[0].as_py())
+        first = np.searchsorted(of, np.arange(len(pieces) + 1))
+        at, to = (first * 4).tolist(), np.append(0, np.cumsum(size, dtype=np.int64))[first].tolist()
+        return [(flat[a:b], decoded[c:d]) for a, b, c, d in zip(at, at[1:], to, to[1:], strict=False)]
 
     def _run(self, sql: str, values: dict | None = None) -> list[tuple]:
         return self.db.execute(sql, values or {}).fetchall()
@@ -159,10 +161,10 @@ class Codec:
             out.append(parts)
         return out
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word, all different."""
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The ids of each word, all different, and what they decode to."""
         raws = [w.encode("utf-8") for w in words]
-        out = {w: i.to_bytes(4, "little") for w, raw in zip(words, raws, strict=True) if (i := self.ranks.get(raw)) is not None}
+        out = {w: (i.to_bytes(4, "little"), self.bytes_of[i]) for w, raw in zip(words, raws, strict=True) if (i := self.ranks.get(raw)) is not None}
         rest = [(w, raw) for w, raw in zip(words, raws, strict=True) if w not in out]
         if not rest:
             return out
@@ -176,10 +178,11 @@ class Codec:
             size += len(x)
             if size >= QUERY_BYTES or k == len(new):
                 self.known.update(zip(batch, self._ids(batch), strict=True))
-                self.held += 5 * size + 180 * len(batch)  # as Python objects
+                self.held += 6 * size + 270 * len(batch)  # as Python objects
                 batch, size = [], 0
         known = self.known
-        out.update((w, b"".join([known[x] for x in xs])) for (w, _), xs in zip(rest, parts, strict=True))
+        for (w, _), xs in zip(rest, parts, strict=True):
+            out[w] = known[xs[0]] if len(xs) == 1 else tuple(map(b"".join, zip(*[known[x] for x in xs], strict=True)))
         return out
 
     def forget(self) -> None:
@@ -189,9 +192,19 @@ class Codec:
 
     def encode(self, many: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the bytes that these decode to."""
-        split = [self.pattern.findall(x) for x in many]
-        ids = self.learn(list(set().union(*split)))
-        return [(b"".join([ids[w] for w in words]), "".join(words).encode("utf-8")) for words in split]
+        collects = gc.isenabled()
+        gc.disable()  # millions of words and pairs, none in a cycle
+        try:
+            split = [self.pattern.findall(x) for x in many]
+            learnt = self.learn(list(set().union(*split)))
+            out = []
+            for words in split:
+                found = [learnt[w] for w in words]
+                out.append((b"".join([x for x, _ in found]), b"".join([x for _, x in found])))
+            return out
+        finally:
+            if collects:
+                gc.enable()
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of an id sequence, by an ordered aggregation."""

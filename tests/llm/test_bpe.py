@@ -55,3 +55,14 @@ def test_tables(spark):
     assert sorted(r.n_tokens for r in out) == [0, 0, 1, 2, 2]
     assert bpe.encode(df.limit(0)).count() == 0
     assert {bytes(r.decoded) for r in bpe.encode(df).collect()} == {b"", b"Hi there", "é".encode()}
+
+
+def test_decoded_bytes_come_from_the_ids(tools, monkeypatch):
+    own, _ = tools
+    real, letter = own._ids, own.ranks[b"?"].to_bytes(4, "little")
+    monkeypatch.setattr(own, "_ids", lambda pieces: [(letter, b"?") for _ in real(pieces)])
+    monkeypatch.setitem(own.bytes_of, own.ranks[b" the"], b"<the>")
+    own.forget()
+    (raw, back), = own.encode(["zqxjkvwq the"])
+    own.forget()
+    assert back == b"".join(own.bytes_of[i] for i in ids(raw)) and back.endswith(b"?<the>")
