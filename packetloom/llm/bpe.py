@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterator
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -36,6 +37,7 @@ QUERY_ROWS = 1_500_000
 CACHE_BYTES = 48 << 20
 WINDOW, _BITS = 8, 20
 _NO_PAIR = 2_000_000_000
+_IDS, _DECODED = itemgetter(0), itemgetter(1)
 
 # t: rows of round i; p and q: the ends of a token and of the next one; r: what the pair of both becomes, times four, plus marks
 # (2: a contraction may make a pair of a smaller rank; 1: it may do so beside another one of its kind)
@@ -103,8 +105,7 @@ class Codec:
         for name, columns in tables.items():
             self._load(name, columns)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.held = 0
+        self.forget()
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("source", pa.table(columns))
@@ -138,56 +139,62 @@ class Codec:
     def _run(self, sql: str, values: dict | None = None) -> list[tuple]:
         return self.db.execute(sql, values or {}).fetchall()
 
-    def _parts(self, words: list[bytes]) -> list[list[bytes]]:
-        """Each word's pieces: no token reaches from one into the next."""
+    def _parts(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The words' pieces, and which of these begins each word: no token reaches from one into the next."""
         raw = b"".join(words)
         n = len(raw)
         padded = np.frombuffer(raw + bytes(WINDOW), np.uint8)
         loads = np.ndarray(n, "<u8", padded, strides=(1,)).copy()
-        ends = np.cumsum([len(x) for x in words])
-        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(n)
         reach = np.ones(n, np.int64)
         for k in range(2, WINDOW + 1):
             here = self.marks[k][_spread(loads & np.uint64((1 << 8 * k) - 1))]
             reach[here & (left >= k)] = k
         far = np.maximum.accumulate(reach + np.arange(n))  # the first byte that no token met so far reaches
-        cut = np.append(np.flatnonzero(far[:-1] <= np.arange(1, n)) + 1, n).tolist()
-        out, a, k = [], 0, 0
-        for end in ends.tolist():
-            parts = []
-            while a < end:
-                parts.append(raw[a : cut[k]])
-                a, k = cut[k], k + 1
-            out.append(parts)
-        return out
-
-    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """The ids of each word, all different, and what they decode to."""
-        raws = [w.encode("utf-8") for w in words]
-        out = {w: (i.to_bytes(4, "little"), self.bytes_of[i]) for w, raw in zip(words, raws, strict=True) if (i := self.ranks.get(raw)) is not None}
-        rest = [(w, raw) for w, raw in zip(words, raws, strict=True) if w not in out]
+        cut = np.append(np.flatnonzero(far[:-1] <= np.arange(1, n)) + 1, n)
+        at = cut.tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at, strict=False)], np.searchsorted(cut, ends - lengths, "right")
+
+    def learn(self, words: list[str]) -> None:
+        """Put words, all different and none met, among those met, each with its ids and what these decode to."""
+        if self.held > CACHE_BYTES // 2:
+            self.known, self.known_before, self.held = {}, self.known, 0
+        raws = list(map(str.encode, words))
+        whole = list(map(self.ranks.get, raws))
+        met = self.met
+        met.update((w, (i.to_bytes(4, "little"), self.bytes_of[i])) for w, i in zip(words, whole, strict=True) if i is not None)
+        rest = [w for w, i in zip(words, whole, strict=True) if i is None]
         if not rest:
-            return out
-        parts = self._parts([raw for _, raw in rest])
-        if self.held > CACHE_BYTES:
-            self.forget()
-        new = sorted(set().union(*parts).difference(self.known), key=len)  # those of a query end in like rounds
+            return
+        pieces, first = self._parts([raw for raw, i in zip(raws, whole, strict=True) if i is None])
+        known, before = self.known, self.known_before
+        new = set(pieces).difference(known)
+        again = new.intersection(before)
+        known.update((x, before[x]) for x in again)
+        new = sorted(new - again, key=len)  # those of a query end in like rounds
         batch, size = [], 0
         for k, x in enumerate(new, 1):
             batch.append(x)
             size += len(x)
             if size >= QUERY_BYTES or k == len(new):
-                self.known.update(zip(batch, self._ids(batch), strict=True))
-                self.held += 6 * size + 270 * len(batch)  # as Python objects
+                known.update((x, len(i).to_bytes(4, "little") + i + d) for x, (i, d) in zip(batch, self._ids(batch), strict=True))
                 batch, size = [], 0
-        known = self.known
-        for (w, _), xs in zip(rest, parts, strict=True):
-            out[w] = known[xs[0]] if len(xs) == 1 else tuple(map(b"".join, zip(*[known[x] for x in xs], strict=True)))
-        return out
+        self.held += 150 * (len(again) + len(new)) + 6 * (sum(map(len, again)) + sum(map(len, new)))  # as Python objects
+        found = list(map(known.__getitem__, pieces))
+        ends = [4 + int.from_bytes(x[:4], "little") for x in found]
+        ids, decoded = [x[4:n] for x, n in zip(found, ends, strict=True)], [x[n:] for x, n in zip(found, ends, strict=True)]
+        to = [*first[1:].tolist(), len(pieces)]
+        met.update((w, (ids[a], decoded[a]) if b - a == 1 else (b"".join(ids[a:b]), b"".join(decoded[a:b]))) for w, a, b in zip(rest, first.tolist(), to, strict=True))
 
     def forget(self) -> None:
         """Drop what was learnt."""
-        self.known.clear()
+        #: ids and decoded bytes of the words of the last texts
+        self.met: dict[str, tuple[bytes, bytes]] = {}
+        #: of pieces, in one object (length of the ids, ids, decoded bytes), since the last turn and from the turn before it
+        self.known: dict[bytes, bytes] = {}
+        self.known_before: dict[bytes, bytes] = {}
         self.held = 0
 
     def encode(self, many: list[str]) -> list[tuple[bytes, bytes]]:
@@ -196,11 +203,15 @@ class Codec:
         gc.disable()  # millions of words and pairs, none in a cycle
         try:
             split = [self.pattern.findall(x) for x in many]
-            learnt = self.learn(list(set().union(*split)))
-            out = []
-            for words in split:
-                found = [learnt[w] for w in words]
-                out.append((b"".join([x for x, _ in found]), b"".join([x for _, x in found])))
+            words = set().union(*split)
+            last = self.met
+            self.met = {w: last[w] for w in words.intersection(last)}
+            del last
+            self.learn(list(words.difference(self.met)))
+            met, out = self.met.__getitem__, []
+            for some in split:
+                found = list(map(met, some))
+                out.append((b"".join(map(_IDS, found)), b"".join(map(_DECODED, found))))
             return out
         finally:
             if collects:

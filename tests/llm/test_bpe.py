@@ -66,3 +66,14 @@ def test_decoded_bytes_come_from_the_ids(tools, monkeypatch):
     (raw, back), = own.encode(["zqxjkvwq the"])
     own.forget()
     assert back == b"".join(own.bytes_of[i] for i in ids(raw)) and back.endswith(b"?<the>")
+
+
+def test_words_and_pieces_of_the_last_texts_are_not_contracted_again(tools, monkeypatch):
+    own, library = tools
+    own.forget()
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1)
+    asked, real = [], own._ids
+    monkeypatch.setattr(own, "_ids", lambda pieces: asked.extend(pieces) or real(pieces))
+    for x in ("zqxjkvwq vrmblgrk", "vrmblgrk zqxjkvwq"):
+        assert ids(own.encode([x])[0][0]) == library.encode_ordinary(x)
+        assert len(asked) == len(set(asked)) > 0
