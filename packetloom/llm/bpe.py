@@ -5,6 +5,7 @@ token of the vocabulary could reach across, which no merge does either, and the
 in-process DuckDB as rows (piece, position, token). A recursive query joins neighbours to the table of mergeable pairs and contracts each piece's
 leftmost pair of the smallest rank, round by round, until none is left. Ordered aggregation gives the pieces' ids and, joined to the
 vocabulary, the bytes they decode to. A text's ids and decoded bytes are its pieces' in order; the decoded bytes come from the ids alone.
+Words and pieces are numbered as they are met, and what belongs to a number lies in arrays, so a text is a row of numbers until it is joined.
 
 The same rule holds for words of every length. A round contracts later places of the smallest rank too, as far as no contraction before them makes a pair
 of a still smaller rank, so long runs end in few rounds. Rows of all rounds stay with a recursive query, so one goes on for as many
@@ -19,7 +20,7 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -37,7 +38,7 @@ QUERY_ROWS = 1_500_000
 CACHE_BYTES = 48 << 20
 WINDOW, _BITS = 8, 20
 _NO_PAIR = 2_000_000_000
-_IDS, _DECODED = itemgetter(0), itemgetter(1)
+_BLOCK = 1 << 15
 
 # t: rows of round i; p and q: the ends of a token and of the next one; r: what the pair of both becomes, times four, plus marks
 # (2: a contraction may make a pair of a smaller rank; 1: it may do so beside another one of its kind)
@@ -73,6 +74,78 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+class Lists:
+    """Lists of numbers behind each other in one array, with the size of each."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size, self.at = flat, size, np.cumsum(size) - size
+
+    def then(self, more: Lists) -> Lists:
+        return Lists(np.concatenate([self.flat, more.flat]), np.concatenate([self.size, more.size]))
+
+    def take(self, which: np.ndarray) -> Lists:
+        """The lists of these numbers, in their order."""
+        size = self.size[which]
+        flat, done = np.empty(size.sum(), self.flat.dtype), 0
+        for k in range(0, len(which), _BLOCK):
+            n = size[k : k + _BLOCK]
+            end = np.cumsum(n)
+            total = int(end[-1])
+            flat[done : done + total] = self.flat[np.repeat(self.at[which[k : k + _BLOCK]] - (end - n), n) + np.arange(total)]
+            done += total
+        return Lists(flat, size)
+
+    def joined(self, first: np.ndarray) -> Lists:
+        """One list of all from each first one on to the next."""
+        return Lists(self.flat, np.diff(np.append(0, np.cumsum(self.size))[np.append(first, len(self.size))]))
+
+
+def _lists(found: list[bytes], kind: str) -> Lists:
+    flat = np.frombuffer(b"".join(found), kind)
+    return Lists(flat, np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize)
+
+
+class Met(dict):
+    """Numbers of what was met, given as it is looked up, and for each number its ids and the bytes that these decode to."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids, self.decoded = _lists([], "<u4"), _lists([], "u1")
+        #: the turn in which a number was last asked for
+        self.used = np.zeros(0, np.int64)
+        self.turn = 0
+
+    def __missing__(self, x: str | bytes) -> int:
+        self[x] = n = len(self)
+        return n
+
+    def new(self) -> list:
+        """Those that have a number and nothing else yet."""
+        return list(islice(self, len(self.used), None))
+
+    def learn(self, ids: Lists, decoded: Lists) -> None:
+        """What belongs to :meth:`new`."""
+        self.ids, self.decoded = self.ids.then(ids), self.decoded.then(decoded)
+        self.used = np.append(self.used, np.full(len(ids.size), self.turn))
+
+    def take(self, which: np.ndarray) -> tuple[Lists, Lists]:
+        self.used[which] = self.turn
+        return self.ids.take(which), self.decoded.take(which)
+
+    def next_turn(self, at_most: int) -> None:
+        """Above so many bytes keep half of them, of what was asked for last, and all of the last turn."""
+        held = 180 + 4 * self.ids.size + 2 * self.decoded.size  # with the keys and numbers as Python objects
+        if held.sum() > at_most:
+            last = np.argsort(-self.used, kind="stable")
+            stay = np.zeros(len(self), bool)
+            stay[last] = (np.cumsum(held[last]) <= at_most // 2) | (self.used[last] == self.turn)
+            keys, stay = list(self), np.flatnonzero(stay)
+            self.ids, self.decoded, self.used = self.ids.take(stay), self.decoded.take(stay), self.used[stay]
+            self.clear()
+            self.update((keys[k], i) for i, k in enumerate(stay.tolist()))
+        self.turn += 1
+
+
 class Codec:
     """One vocabulary in one Python worker."""
 
@@ -157,62 +230,58 @@ class Codec:
         at = cut.tolist()
         return [raw[a:b] for a, b in zip([0, *at], at, strict=False)], np.searchsorted(cut, ends - lengths, "right")
 
-    def learn(self, words: list[str]) -> None:
-        """Put words, all different and none met, among those met, each with its ids and what these decode to."""
-        if self.held > CACHE_BYTES // 2:
-            self.known, self.known_before, self.held = {}, self.known, 0
-        raws = list(map(str.encode, words))
+    def learn(self) -> None:
+        """Find the ids of the new words and what these decode to."""
+        raws = list(map(str.encode, self.words.new()))
         whole = list(map(self.ranks.get, raws))
-        met = self.met
-        met.update((w, (i.to_bytes(4, "little"), self.bytes_of[i])) for w, i in zip(words, whole, strict=True) if i is not None)
-        rest = [w for w, i in zip(words, whole, strict=True) if i is None]
-        if not rest:
-            return
-        pieces, first = self._parts([raw for raw, i in zip(raws, whole, strict=True) if i is None])
-        known, before = self.known, self.known_before
-        new = set(pieces).difference(known)
-        again = new.intersection(before)
-        known.update((x, before[x]) for x in again)
-        new = sorted(new - again, key=len)  # those of a query end in like rounds
-        batch, size = [], 0
-        for k, x in enumerate(new, 1):
-            batch.append(x)
-            size += len(x)
-            if size >= QUERY_BYTES or k == len(new):
-                known.update((x, len(i).to_bytes(4, "little") + i + d) for x, (i, d) in zip(batch, self._ids(batch), strict=True))
-                batch, size = [], 0
-        self.held += 150 * (len(again) + len(new)) + 6 * (sum(map(len, again)) + sum(map(len, new)))  # as Python objects
-        found = list(map(known.__getitem__, pieces))
-        ends = [4 + int.from_bytes(x[:4], "little") for x in found]
-        ids, decoded = [x[4:n] for x, n in zip(found, ends, strict=True)], [x[n:] for x, n in zip(found, ends, strict=True)]
-        to = [*first[1:].tolist(), len(pieces)]
-        met.update((w, (ids[a], decoded[a]) if b - a == 1 else (b"".join(ids[a:b]), b"".join(decoded[a:b]))) for w, a, b in zip(rest, first.tolist(), to, strict=True))
+        rest = [raw for raw, i in zip(raws, whole, strict=True) if i is None]
+        tokens = [i for i in whole if i is not None]
+        ids, decoded = Lists(np.array(tokens, "<u4"), np.ones(len(tokens), np.int64)), _lists(list(map(self.bytes_of.__getitem__, tokens)), "u1")
+        if rest:
+            pieces, first = self._parts(rest)
+            which = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+            new = self.pieces.new()
+            found: list = [None] * len(new)
+            batch, size = [], 0
+            for k, n in enumerate(sorted(range(len(new)), key=lambda n: len(new[n])), 1):  # those of a query end in like rounds
+                batch.append(n)
+                size += len(new[n])
+                if size >= QUERY_BYTES or k == len(new):
+                    for n, x in zip(batch, self._ids([new[n] for n in batch]), strict=True):
+                        found[n] = x
+                    batch, size = [], 0
+            self.pieces.learn(_lists([x for x, _ in found], "<u4"), _lists([x for _, x in found], "u1"))
+            more, more_decoded = self.pieces.take(which)
+            ids, decoded = ids.then(more.joined(first)), decoded.then(more_decoded.joined(first))
+        parted = np.fromiter((i is None for i in whole), bool, len(whole))
+        order = np.where(parted, len(tokens) + np.cumsum(parted), np.cumsum(~parted)) - 1
+        self.words.learn(ids.take(order), decoded.take(order))
 
     def forget(self) -> None:
         """Drop what was learnt."""
-        #: ids and decoded bytes of the words of the last texts
-        self.met: dict[str, tuple[bytes, bytes]] = {}
-        #: of pieces, in one object (length of the ids, ids, decoded bytes), since the last turn and from the turn before it
-        self.known: dict[bytes, bytes] = {}
-        self.known_before: dict[bytes, bytes] = {}
-        self.held = 0
+        self.words, self.pieces = Met(), Met()
 
     def encode(self, many: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the bytes that these decode to."""
         collects = gc.isenabled()
-        gc.disable()  # millions of words and pairs, none in a cycle
+        gc.disable()  # hundreds of thousands of pairs, none in a cycle
         try:
-            split = [self.pattern.findall(x) for x in many]
-            words = set().union(*split)
-            last = self.met
-            self.met = {w: last[w] for w in words.intersection(last)}
-            del last
-            self.learn(list(words.difference(self.met)))
-            met, out = self.met.__getitem__, []
-            for some in split:
-                found = list(map(met, some))
-                out.append((b"".join(map(_IDS, found)), b"".join(map(_DECODED, found))))
-            return out
+            self.words.next_turn(CACHE_BYTES)
+            self.pieces.next_turn(CACHE_BYTES)
+            number, words = self.words.__getitem__, self.pattern.findall
+            which = [np.fromiter(map(number, words(x)), np.int32) for x in many]
+            self.learn()
+            first = np.cumsum([0, *map(len, which)])[:-1]
+            out = []
+            for x in self.words.take(np.concatenate([*which, np.zeros(0, np.int32)])):
+                x = x.joined(first)
+                ends = np.append(0, np.cumsum(x.size) * x.flat.itemsize).tolist()
+                raw = x.flat.tobytes()
+                out.append([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            return list(zip(*out, strict=True))
+        except BaseException:
+            self.forget()  # some have a number and nothing else
+            raise
         finally:
             if collects:
                 gc.enable()

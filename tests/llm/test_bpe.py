@@ -77,3 +77,27 @@ def test_words_and_pieces_of_the_last_texts_are_not_contracted_again(tools, monk
     for x in ("zqxjkvwq vrmblgrk", "vrmblgrk zqxjkvwq"):
         assert ids(own.encode([x])[0][0]) == library.encode_ordinary(x)
         assert len(asked) == len(set(asked)) > 0
+
+
+def test_words_of_earlier_texts_are_not_parted_again(tools, monkeypatch):
+    own, library = tools
+    own.forget()
+    asked, real = [], own._parts
+    monkeypatch.setattr(own, "_parts", lambda words: asked.extend(words) or real(words))
+    for x in ("zqxjkvwq", "vrmblgrk", "zqxjkvwq", "", "vrmblgrk zqxjkvwq"):
+        assert ids(own.encode([x])[0][0]) == library.encode_ordinary(x)
+    assert asked == [b"zqxjkvwq", b"vrmblgrk", b" zqxjkvwq"]
+
+
+def test_results_do_not_depend_on_what_is_kept(tools, monkeypatch):
+    own, library = tools
+    own.forget()
+    r = random.Random(5)
+    words = ["".join(r.choice("abéßthein日本") for _ in range(r.randint(1, 12))) for _ in range(400)]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 40_000)
+    for _ in range(12):
+        many = [" ".join(r.choices(words, k=r.choice((0, 1, 50)))) for _ in range(5)]
+        for x, (raw, back) in zip(many, own.encode(many), strict=True):
+            assert ids(raw) == library.encode_ordinary(x) and back == x.encode() == own.decode(raw)
+    assert len(own.words) < 300 < len(words)
+    assert own.encode([]) == [] and own.encode(["", ""]) == [(b"", b"")] * 2
